@@ -31,9 +31,14 @@ class HashCache(dict):
         return value
 
 
+def fold(text: str) -> str:
+    """Lower case of the same length: the one letter whose lower case is longer becomes i."""
+    return text.replace("\u0130", "i").lower()
+
+
 def words_of(text: str | None) -> list[str]:
     """Words of a text; none for a null or empty one."""
-    return find_words(text.lower()) if text else []
+    return find_words(fold(text)) if text else []
 
 
 def hash_words(texts: Iterable[str | None], cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +48,7 @@ def hash_words(texts: Iterable[str | None], cache: HashCache) -> tuple[np.ndarra
     for text in texts:
         before = len(flat)
         if text:
-            flat.extend(map(get, find_words(text.lower())))
+            flat.extend(map(get, find_words(fold(text))))
         counts.append(len(flat) - before)
     return np.frombuffer(flat, np.uint64) if len(flat) else np.zeros(0, np.uint64), np.array(counts, np.int64)
 
@@ -166,3 +171,9 @@ def discard(*frames: DataFrame) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sized(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if it has at most most_rows rows, counted; else as it is, for a
+    shuffle join. For materialised frames of a few numbers a row."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

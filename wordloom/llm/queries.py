@@ -20,6 +20,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import repeated_spans
+
+    return repeated_spans(read_table(spark, sf_dir, "documents")).select("doc_id", "start", "n_words", "first_id", "first_start")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -34,5 +40,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(score(docs, train(docs, read_table(spark, sf_dir, "labels")))).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op9_simhash_near_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op4_substring_dedup, op9_simhash_near_dedup, op10_quality_classifier)}
 ORACLES = {"op2_decontamination": decontam.ORACLE}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashCache, discard, hash_words, materialise, starts, text_key
+from .common import HashCache, discard, materialise, text_key, words_of
 
 MIN_SHARED, VERIFY = 3, 20
 TRIPLES = np.array([[h + i for i in t] for h in (0, 8) for t in combinations(range(8), 3)])
@@ -69,12 +69,10 @@ def signature(words: set[str], bits: _Bits) -> bytes:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, hi, lo): the signatures as two longs, for documents that have words."""
-    from .common import find_words
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _Bits()
         for b in batches:
-            found = [(i, signature(w, bits)) for i, t in enumerate(b.column("text").to_pylist()) if t and (w := set(find_words(t.lower())))]
+            found = [(i, signature(w, bits)) for i, t in enumerate(b.column("text").to_pylist()) if t and (w := set(words_of(t)))]
             at = pa.array([i for i, _ in found], pa.int32())
             s = np.frombuffer(b"".join(x for _, x in found), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.record_batch([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "text_key", "hi", "lo"])
