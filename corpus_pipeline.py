@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import quality, simhash
+from wordloom.llm import decontam, packing, quality, simhash, substring
 from wordloom.llm.common import read_table, scratch
 
 
@@ -18,7 +18,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("quality classifier", classify), ("SimHash near-dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that an earlier document has; documents of which nothing is left go."""
+    return substring.drop_repeats(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that share a span with an item of the benchmark."""
+    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places every piece of every document in a training sequence."""
+    return packing.packed(docs)
+
+
+STAGES = [("quality classifier", classify), ("SimHash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("benchmark decontamination", decontaminate), ("best-fit packing", pack)]
 #: SQL can express neither the trained classifier nor the signatures.
 ORACLE_SQL = None
 

@@ -3,7 +3,9 @@
 A document's signature has 128 bits: each bit is the sign of a sum, over the document's distinct
 words, of plus or minus one by the word's hash. Seen as 16 positional bytes, two signatures that
 differ in d bits share at least 16 - d of them; DISTANCE = 13 gives the guaranteed minimum
-MIN_SHARED = 3 at which a pair is retained, to be verified by its Hamming distance.
+MIN_SHARED = 3 at which a pair is retained, to be verified by its Hamming distance, and by sketches of
+both documents' three-word shingles: unlike documents in one language can come within VERIFY bits of
+each other, the more the larger the corpus, but share no shingles.
 
 A posting list for one byte value would hold n/256 documents and the tally would grow with the
 square of the input. The index therefore holds three positional bytes together: the triples within
@@ -31,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashCache, discard, materialise, text_key, words_of
+from .common import HashCache, discard, materialise, text_key, window_hashes, words_of
 
 MIN_SHARED, VERIFY = 3, 20
+#: Least shingle hashes kept of a document; least estimated share of common shingles of a pair.
+SKETCH, MIN_COMMON = 64, 0.25
 TRIPLES = np.array([[h + i for i in t] for h in (0, 8) for t in combinations(range(8), 3)])
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,17 +71,36 @@ def signature(words: set[str], bits: _Bits) -> bytes:
     return np.packbits(total > 0).tobytes()
 
 
+def sketch(words: list[str], hashes: HashCache) -> bytes:
+    """The least SKETCH hashes of the distinct shingles, of 32 bits, ascending."""
+    h = np.array([hashes[w] for w in words], np.uint64)
+    n = min(3, len(h))
+    h = np.unique((window_hashes(h, np.array([len(h)]), n)[: len(h) - n + 1] >> np.uint64(32)).astype(np.uint32))
+    return h[:SKETCH].tobytes()
+
+
+def common_share(a: bytes, b: bytes) -> float:
+    """Estimated share of common shingles in all of two documents' (exact where both have few)."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.sort(np.concatenate([x, y]))
+    twice = np.append(both[1:] == both[:-1], False)
+    first = np.append(True, both[1:] != both[:-1])
+    k = min(SKETCH, int(first.sum())) if max(len(x), len(y)) >= SKETCH else int(first.sum())
+    return float((twice & (np.cumsum(first) <= k)).sum()) / k
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, hi, lo): the signatures as two longs, for documents that have words."""
+    """(doc_id, text_key, hi, lo, sketch): the signatures as two longs, for documents that have words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _Bits()
+        bits, hashes = _Bits(), HashCache()
         for b in batches:
-            found = [(i, signature(w, bits)) for i, t in enumerate(b.column("text").to_pylist()) if t and (w := set(words_of(t)))]
-            at = pa.array([i for i, _ in found], pa.int32())
-            s = np.frombuffer(b"".join(x for _, x in found), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.record_batch([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "text_key", "hi", "lo"])
+            found = [(i, signature(set(w), bits), sketch(w, hashes)) for i, t in enumerate(b.column("text").to_pylist()) if t and (w := words_of(t))]
+            at = pa.array([i for i, _, _ in found], pa.int32())
+            s = np.frombuffer(b"".join(x for _, x, _ in found), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.record_batch([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array([x for _, _, x in found], pa.binary())], ["doc_id", "text_key", "hi", "lo", "sketch"])
 
-    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id bigint, text_key bigint, hi bigint, lo bigint")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id bigint, text_key bigint, hi bigint, lo bigint, sketch binary")
 
 
 def _as_bytes(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -158,16 +181,29 @@ def near_edges(sigs: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def like(edges: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The edges (a, b) whose ends share MIN_COMMON of their shingles. sketches: (node, sketch)."""
+    one = sketches.groupBy("node").agg(F.min("sketch").alias("sketch"))
+    both = edges.join(one.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = pa.array([i for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())) if common_share(x, y) >= MIN_COMMON], pa.int32())
+            yield pa.record_batch([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, keep_id, keep_key, copies): every document that has a near copy, with the
     document of its group that stays: the least doc_id, then text_key (a null doc_id comes last)."""
-    sigs = materialise(signatures(docs).distinct(), "signatures")
-    edges = near_edges(sigs.select("hi", "lo").distinct())
+    sigs = materialise(signatures(docs), "signatures")
+    node = F.unhex(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
+    edges = like(near_edges(sigs.select("hi", "lo").distinct()), sigs.select(node.alias("node"), "sketch"))
     from .components import components
 
     roots = components(edges)
-    node = F.unhex(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
-    found = sigs.withColumn("node", node).join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    found = sigs.select("doc_id", "text_key", "hi", "lo").distinct().withColumn("node", node).join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
     order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = found.select("doc_id", "text_key", F.first("doc_id").over(order).alias("keep_id"), F.first("text_key").over(order).alias("keep_key"), F.count("*").over(order).alias("copies")).filter("copies > 1")
     out = materialise(out, "groups")
