@@ -12,7 +12,7 @@ bound; every other step covers all rows) in one task, with FTRL-Proximal updates
 
 Nulls and edges: a null or empty text has no features and scores the bias alone; labels with a null
 doc_id, quality or toxic are not used; repeated rows score alike; with no labelled rows, or with an
-empty table, all weights are 0 and every document is kept; other columns of any name pass by.
+empty table, all weights are 0, the bias says no, and every document is kept; other columns of any name pass by.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ MAX_LABELLED = 30_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 THRESHOLD = 0.4
+#: Bias of a model that has seen no labelled row: it rejects nothing.
+UNTRAINED = -35.0
 HEADS = ("low_quality", "toxic")
 _tokens = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
 _MASK = np.uint64((1 << BITS) - 1)
@@ -109,6 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = [(np.frombuffer(p, np.int32).astype(np.int64), (int(q == 0), int(x == 1))) for f in frames for p, q, x in zip(f["places"], f["quality"], f["toxic"])]
+        if not seen:  # repartition(1) may run without rows
+            return
         w, b = _ftrl(seen)
         for head in range(len(HEADS)):
             at = np.flatnonzero(w[head])
@@ -116,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     found = rows.mapInArrow(featurise, "rank bigint, id bigint, places binary, quality int, toxic int")
     model = found.repartition(1).sortWithinPartitions("rank", "id", "places").mapInPandas(fit, "head int, place int, weight double").toPandas()
-    w, bias = np.zeros((len(HEADS), 1 << BITS), np.float32), np.zeros(len(HEADS))
+    w, bias = np.zeros((len(HEADS), 1 << BITS), np.float32), np.full(len(HEADS), UNTRAINED)
     for head, place, value in model.itertuples(index=False):
         if place < 0:
             bias[head] = value

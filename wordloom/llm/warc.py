@@ -83,7 +83,7 @@ class _Bundle:
     def __init__(self, fs, path: str) -> None:
         import zstandard
 
-        self.out, self.frames, self.at = fs.open_output_stream(path), [], 0
+        self.out, self.frames, self.at = fs.open_output_stream(path, compression=None), [], 0
         self.compress = zstandard.ZstdCompressor(level=LEVEL).compress
         self.plain, self.size, self.rows = [], 0, []
 
