@@ -1,4 +1,293 @@
 """Registered queries over the tables, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..api import Index, SearchEngine
+from ..functions import codec
+from ..functions.stopwords import ENGLISH
+from ..functions.text import index_tokens, tokens, without
+from ..operators import filters, index, prepare, search
+from ..sources import json_posts, tables
+from . import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.document_terms(tables.documents(spark, sf_dir))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; a warehouse folder where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/wordloom-{name}-{uuid.uuid4().hex}"
+
+
+# text
+
+
+@query(f"with t as (select doc_id, {sql.tok('text')} as ws from documents) select doc_id, cast(generate_subscripts(ws, 1) - 1 as integer) as pos, unnest(ws) as token from t")
+def text_clean_tokens(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+
+
+@query(f"with {sql.D}, {sql.TERMS} select * from allt")
+def text_index_terms(spark, sf_dir):
+    return doc_terms(spark, sf_dir).select("doc_id", F.explode("terms").alias("term"))
+
+
+@query(f"with {sql.PAGES}, {sql.TERMS} select doc_id as page_id, term from allt")
+def text_terms_pages(spark, sf_dir):
+    return index.document_terms(tables.pages(spark, sf_dir)).select(F.col("doc_id").alias("page_id"), F.explode("terms").alias("term"))
+
+
+@query(f"select distinct * from (select conv_id, turn, unnest({sql.tok(sql.strip('text'))}) as term from conversations) where term not in ({sql.STOP})")
+def text_terms_conversations(spark, sf_dir):
+    return tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(without(index_tokens(F.col("text")), ENGLISH)).alias("term"))
+
+
+@query(f"with {sql.D}, {sql.TERMS} select * from tt")
+def text_title_terms(spark, sf_dir):
+    return tables.documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(tokens(F.col("title")))).alias("term"))
+
+
+@query(f"with t as (select lang, unnest({sql.tok('text')}) as term from documents) select lang, count(*) as tokens, count(*) filter (term in ({sql.STOP})) as stop_tokens from t group by lang")
+def text_stopword_rate(spark, sf_dir):
+    """The stop words are a list of fixed size, joined by broadcast."""
+    each = tables.read(spark, sf_dir, "documents").select("lang", F.explode(tokens(F.col("text"))).alias("term"))
+    words = spark.createDataFrame([(w,) for w in ENGLISH], "stop string")
+    found = each.join(F.broadcast(words), F.col("term") == F.col("stop"), "left")
+    return found.groupBy("lang").agg(F.count("*").alias("tokens"), F.count("stop").alias("stop_tokens"))
+
+
+@query(f"with t as (select unnest({sql.tok('text')}) as term from documents) select length(term) as len, count(*) as n from t group by 1")
+def text_term_lengths(spark, sf_dir):
+    each = tables.read(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("term"))
+    return each.groupBy(F.length("term").cast("bigint").alias("len")).agg(F.count("*").alias("n"))
+
+
+# sources and preparation
+
+
+@query("select event_id, k as key, props ->> k as txt from (select event_id, props, unnest(json_keys(props)) as k from events)")
+def json_props_text(spark, sf_dir):
+    return json_posts.fields_of(tables.read(spark, sf_dir, "events"), "props", "event_id")
+
+
+@query(f"with {sql.D} select title, url, meta, length(title || ' ' || trim(body, ' ' || chr(9) || chr(10) || chr(13))) as body_length from d")
+def prep_schema_documents(spark, sf_dir):
+    from ..sources.schema import Schema
+
+    d = tables.documents(spark, sf_dir).join(tables.read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    rows = d.select(F.create_map(F.lit("title"), "title", F.lit("body"), "body", F.lit("url"), "url", F.lit("lang"), "lang", F.lit("source"), "source").alias("fields"))
+    out = prepare.project(rows, Schema(metadata_fields=("lang", "source")))
+    return out.select("title", "url", "meta", F.length("body").cast("bigint").alias("body_length"))
+
+
+@query("select p_name as title, '/part/' || p_partkey as url, p_brand || ' ' || p_size as meta, p_name || ' ' || p_type as body from part")
+def prep_catalog_part(spark, sf_dir):
+    return tables.parts(spark, sf_dir).select("title", "url", "meta", "body")
+
+
+@query("""select '/part/' || p_partkey as url, '{"brand":"' || p_brand || '","type":"' || p_type || '"}' as meta from part""")
+def prep_library_meta(spark, sf_dir):
+    meta = F.create_map(F.lit("type"), "p_type", F.lit("brand"), "p_brand")
+    return tables.read(spark, sf_dir, "part").select(F.concat(F.lit("/part/"), F.col("p_partkey").cast("string")).alias("url"), prepare.map_meta(meta).alias("meta"))
+
+
+@query(f"with {sql.D} select title, url, length(body || ' again') as body_length from d")
+def prep_dedup_last_wins(spark, sf_dir):
+    d = tables.documents(spark, sf_dir)
+    both = d.withColumn("pos", F.lit(0)).union(d.withColumn("body", F.concat("body", F.lit(" again"))).withColumn("pos", F.lit(1)))
+    return prepare.last_wins(both, "pos").select("title", "url", F.length("body").cast("bigint").alias("body_length"))
+
+
+# the exact index
+
+
+@query(f"with {sql.D}, {sql.TERMS} select * from x")
+def index_posting_terms(spark, sf_dir):
+    return index.posting_terms(doc_terms(spark, sf_dir))
+
+
+def postings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build_postings(index.posting_terms(doc_terms(spark, sf_dir)))
+
+
+@query(f"with {sql.D}, {sql.TERMS} select term, doc_id // {index.BLOCK} as block, count(*) as df, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids from x group by 1, 2")
+def index_postings(spark, sf_dir):
+    return postings_of(spark, sf_dir).select("term", "block", "df", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
+
+
+@query(f"with {sql.D}, {sql.TERMS} select term, count(*) as df from x group by 1")
+def index_vocabulary(spark, sf_dir):
+    return index.vocabulary(index.posting_terms(doc_terms(spark, sf_dir)))
+
+
+@query(f"with {sql.D}, {sql.TERMS} select (select count(*) from d) as n_docs, (select count(distinct term) from x) as n_terms, (select count(*) from x) as n_postings")
+def index_stats(spark, sf_dir):
+    v = index.vocabulary(index.posting_terms(doc_terms(spark, sf_dir))).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    return tables.read(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs")).crossJoin(v)
+
+
+@query(ORACLES["index_vocabulary"])
+def index_roundtrip(spark, sf_dir):
+    """Built, checked, saved and loaded again."""
+    path = shared_path(spark, "index")
+    SearchEngine().build(tables.documents(spark, sf_dir)).save(path, ENGLISH)
+    return Index.load(spark, path).data.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+@query(f"with {sql.D}, {sql.TERMS} select term, count(*) as df from x where term in ('tion', 'ing') group by 1")
+def vocab_lookup_exact(spark, sf_dir):
+    return index.vocabulary(index.posting_terms(doc_terms(spark, sf_dir)).filter(F.col("term").isin("tion", "ing")))
+
+
+@query(f"with {sql.D}, {sql.TERMS} select term, count(*) as df from x where starts_with(term, 'tion') group by 1")
+def vocab_lookup_prefix(spark, sf_dir):
+    return index.vocabulary(index.posting_terms(doc_terms(spark, sf_dir)).filter(F.startswith("term", F.lit("tion"))))
+
+
+# search
+
+
+def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = doc_terms(spark, sf_dir)
+    return docs, index.build_postings(index.posting_terms(docs))
+
+
+SEARCHES = {
+    "search_exact_single": ("tion", 10),
+    "search_exact_multi": ("the tion heit", 10),
+    "search_exact_duplicate_terms": ("ere ere", 10),
+    "search_exact_stopword": ("the", 10),
+    "search_exact_short_term": ("is", 10),
+    "search_exact_prefix": ("heit unge", 10),
+    "search_exact_topn_edges": ("ble thon", 1_000_000_000),
+    "search_exact_nothing": ("12 -- !", 10),
+}
+for _name, (_q, _n) in SEARCHES.items():
+    query(sql.search(_q, _n), _name)(lambda spark, sf_dir, q=_q, n=_n: search.search(*built(spark, sf_dir), q, n))
+
+
+@query(f"with {sql.PARTS}, {sql.TERMS}, {sql.queries('red')}, {sql.scored()} select doc_id as p_partkey, cast(pts as integer) as tier from t1")
+def search_title_only(spark, sf_dir):
+    t = tables.parts(spark, sf_dir).select(F.col("doc_id").alias("p_partkey"), search.title_tier(F.array_distinct(tokens(F.col("title"))), "red").alias("tier"))
+    return t.filter("tier > 0")
+
+
+def search_over(posts: DataFrame, text: str, n: int, key: str) -> DataFrame:
+    docs = index.document_terms(posts)
+    return search.search(docs, index.build_postings(index.posting_terms(docs)), text, n).withColumnRenamed("doc_id", key)
+
+
+@query(sql.search("red widget", 20, sql.PARTS, "p_partkey"))
+def search_catalog(spark, sf_dir):
+    return search_over(tables.parts(spark, sf_dir), "red widget", 20, "p_partkey")
+
+
+@query(sql.search("tion amp", 20, sql.PAGES, "page_id"))
+def search_pages(spark, sf_dir):
+    return search_over(tables.pages(spark, sf_dir), "tion amp", 20, "page_id")
+
+
+_ITEMS = f"qs as (select query_id, generate_subscripts(ws, 1) - 1 as pos, unnest(ws) as q from (select item_id as query_id, {sql.tok('text')} as ws from benchmark))"
+
+
+@query(f"with {sql.D}, {sql.TERMS}, {_ITEMS}, {sql.scored()} select * from (select query_id as item_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score from hit) where rank <= 10")
+def search_many_benchmark(spark, sf_dir):
+    queries = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search_many(*built(spark, sf_dir), queries, 10).withColumnRenamed("query_id", "item_id")
+
+
+@query(f"with {sql.D}, {sql.TERMS}, {_ITEMS}, {sql.scored()} select query_id, count(*) as hits, cast(sum(score) as bigint) as score_sum from hit group by 1")
+def search_hit_counts(spark, sf_dir):
+    queries = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = search.hits(*built(spark, sf_dir), search.query_terms(queries))
+    return found.groupBy("query_id").agg(F.count("*").alias("hits"), F.sum("score").alias("score_sum"))
+
+
+@query(f"with {sql.D}, {sql.TERMS}, {sql.queries('tion ing')}, {sql.scored()} select doc_id, score, quality, toxic from hit join labels using (doc_id)")
+def search_with_labels(spark, sf_dir):
+    found = search.hits(*built(spark, sf_dir), search.query_terms(search.literal(spark, "tion ing")))
+    return found.select("doc_id", "score").join(tables.read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "score", "quality", "toxic")
+
+
+@query(f"""with r as ({sql.search('red widget', 5, sql.PARTS)}), {sql.PARTS}
+select '[' || string_agg('{{"title":"' || title || '","url":"' || url || '","meta":"' || meta || '"}}', ',' order by rank) || ']' as json from r join d using (doc_id)""")
+def search_json_result(spark, sf_dir):
+    return SearchEngine().build(tables.parts(spark, sf_dir)).search_json("red widget", 5)
+
+
+@query(f"""with r as ({sql.search('red widget', 5, sql.PARTS)}), {sql.PARTS} select rank, 'Title: ' || title || ', Url: ' || url || ', Meta: ' || meta as line from r join d using (doc_id)""")
+def search_text_lines(spark, sf_dir):
+    return SearchEngine().build(tables.parts(spark, sf_dir)).search_lines("red widget", 5)
+
+
+# the filter index
+
+
+@query(sql.search("the tion heit", 10, content="allt", whole=True))
+def filter_search_ideal(spark, sf_dir):
+    """The filter's ranking with exact membership in its place."""
+    q = ["the", "tion", "heit"]
+    points = [search.title_tier(F.col("title_terms"), t) + F.array_contains("terms", t).cast("int") for t in q]
+    return search.ranked(doc_terms(spark, sf_dir).select("doc_id", sum(points, F.lit(0)).cast("bigint").alias("score")), 10)
+
+
+@query("select cast(0 as bigint) as missed")
+def filter_no_false_negatives(spark, sf_dir):
+    docs = doc_terms(spark, sf_dir)
+    both = docs.select("terms", filters.filter_of(F.col("terms")).alias("filter"))
+    found = filters.member(F.col("filter"), F.col("terms"))
+    missed = F.size("terms") - F.aggregate(found, F.lit(0), lambda a, x: a + x)
+    return both.agg(F.sum(missed).cast("bigint").alias("missed"))
+
+
+@query()
+def filter_search_xor8(spark, sf_dir):
+    return filters.search_filter(filters.build_filters(doc_terms(spark, sf_dir)), "the tion heit", 10)
+
+
+# codec
+
+
+_X = f"with {sql.D}, {sql.TERMS}"
+
+
+@query(f"{_X} select term, row_number() over w as pos, doc_id - coalesce(lag(doc_id) over w, 0) as gap from x window w as (partition by term, doc_id // {index.BLOCK} order by doc_id)")
+def codec_delta(spark, sf_dir):
+    return postings_of(spark, sf_dir).select("term", F.posexplode(codec.delta(F.col("doc_ids"))).alias("pos", "gap")).select("term", (F.col("pos") + 1).cast("bigint").alias("pos"), "gap")
+
+
+@query(f"{_X} select term, doc_id from x")
+def codec_prefix_sum(spark, sf_dir):
+    """Gaps as bytes and back, summed up again."""
+    coded = codec.varint_decode(codec.varint_encode(codec.delta(F.col("doc_ids"))))
+    return postings_of(spark, sf_dir).select("term", F.explode(codec.prefix_sum(coded)).alias("doc_id"))
+
+
+_SIZE = "case " + " ".join(f"when gap < {1 << 7 * n} then {n}" for n in range(1, 9)) + " else 9 end"
+
+
+@query(f"with g as ({ORACLES['codec_delta']}) select term, cast(sum({_SIZE}) as bigint) as bytes from g group by 1")
+def codec_varint_bytes(spark, sf_dir):
+    size = F.aggregate(F.transform(codec.delta(F.col("doc_ids")), codec.varint_size), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return postings_of(spark, sf_dir).select("term", size.alias("n")).groupBy("term").agg(F.sum("n").alias("bytes"))
