@@ -333,6 +333,24 @@ def test_simhash_recall_and_precision(spark):
     assert len(pairs) > 100 and sum(keep(a) == keep(b) for a, b in pairs) >= 0.95 * len(pairs)
 
 
+def test_simhash_finds_all_pairs_to_the_last_bit(spark):
+    r, words = random.Random(19), vocabulary(19)
+    texts = []
+    for i in range(400):  # isolated pairs, 5 to 15 % of the words replaced
+        w = text(r, words, r.randint(80, 400)).split()
+        other = list(w)
+        for k in r.sample(range(len(w)), len(w) * (5 + i % 11) // 100):
+            other[k] = r.choice(words)
+        texts += [" ".join(w), " ".join(other)]
+    df = frame(spark, texts)
+    sigs = {x.doc_id: simhash._as_bytes(np.array([x.hi]), np.array([x.lo]))[0] for x in simhash.signatures(df).collect()}
+    gone = {(x.keep_id, x.doc_id) for x in simhash.near_duplicates(df).collect()}
+    distance = {(i, i + 1): int(np.bitwise_count(sigs[i] ^ sigs[i + 1]).sum()) for i in range(0, len(texts), 2)}
+    near = {p for p, d in distance.items() if d <= simhash.VERIFY}
+    assert sum(12 <= distance[p] for p in near) > 100
+    assert gone == near
+
+
 def test_simhash_edges(spark, edge):
     left = simhash.drop_near_duplicates(edge).collect()
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in left) == sorted([(False, i) for i in (1, 2, 2, 3, 4, 5, 6, 7, 8, 9)] + [(True, 0)])

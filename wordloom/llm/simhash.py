@@ -1,22 +1,22 @@
-"""9: SimHash near-duplicates by a byte-position inverted index with count filtering.
+"""9: SimHash near-duplicates by an inverted index of shingle hashes and verification.
 
 A document's signature has 128 bits: each bit is the sign of a sum, over the document's distinct
-words, of plus or minus one by the word's hash. Seen as 16 positional bytes, two signatures that
-differ in d bits share at least 16 - d of them; DISTANCE = 13 gives the guaranteed minimum
-MIN_SHARED = 3 at which a pair is retained, to be verified by its Hamming distance, and by sketches of
-both documents' three-word shingles: unlike documents in one language can come within VERIFY bits of
-each other, the more the larger the corpus, but share no shingles.
-
-A posting list for one byte value would hold n/256 documents and the tally would grow with the
-square of the input. The index therefore holds three positional bytes together: the triples within
-each half of the 16 positions, 112 keys for a document. A pair with five shared bytes has three of
-them in one half, so every pair up to distance 11 meets in some list, whatever its bytes. Beyond
-that a pair meets if one half holds three shared bytes; those up to VERIFY = 20 bits are accepted
-when they do. Measured recall against all pairs within 20 bits: see the README and tests/llm.
-
-Equal signatures are one entry of the index, so exact copies cost nothing. Within a list, documents
-are compared breadth-first: those that are found near one leave the list's unvisited part, hence a
-list of m copies takes about m comparisons, and its components are exact.
+words, of plus or minus one by the word's hash. Two documents are near each other if their signatures
+differ in VERIFY = 20 bits at most and the sketches of their three-word shingles (the least SKETCH
+hashes) share MIN_COMMON of them: unlike documents in one language can come within VERIFY bits of each
+other, the more the larger the corpus, but share no shingles.
+
+The index is complete for such pairs, at any distance up to VERIFY. Bytes of the signatures can't be
+its keys: pairs of 14 to 20 bits need not share any, and a tally over the 16 positions needs lists that
+grow with the square of the input or 560 keys of three bytes. A near pair shares at least a quarter of
+either sketch, though. So the hashes of all sketches are put in one order, by the number of documents
+that have them; of a sketch of n hashes the ceil(n / 4) - 1 most frequent are left out, and what only
+one document has. The rarest hash that a near pair shares is then a key of both: it has at least
+ceil(n / 4) - 1 shared ones after it. Frequent boilerplate is what is left out.
+
+Documents of equal signature and sketch are one entry (node) of the index, so exact copies cost
+nothing. Within a list, nodes are compared breadth-first: those that are found near one leave the
+list's unvisited part, hence a list of m copies takes about m comparisons.
 
 Nulls and edges: a null or empty text, or one without letters and digits, has no signature and is
 near nothing. Rows that agree in doc_id and text are one document. A null doc_id is a document of
@@ -35,10 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import HashCache, discard, materialise, text_key, window_hashes, words_of
 
-MIN_SHARED, VERIFY = 3, 20
+VERIFY = 20
 #: Least shingle hashes kept of a document; least estimated share of common shingles of a pair.
 SKETCH, MIN_COMMON = 64, 0.25
-TRIPLES = np.array([[h + i for i in t] for h in (0, 8) for t in combinations(range(8), 3)])
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,26 +106,35 @@ def _as_bytes(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return np.stack([hi, lo], axis=1).astype(">i8").view(np.uint8).reshape(-1, 16)
 
 
-def postings(sigs: DataFrame) -> DataFrame:
-    """(key, hi, lo): 112 keys for each signature; a key holds the triple's number and three bytes."""
+def nodes_of(sigs: DataFrame) -> DataFrame:
+    """(node, hi, lo, sketch): a number for each signature and sketch that differ."""
+    return materialise(sigs.select("hi", "lo", "sketch").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def postings(nodes: DataFrame) -> DataFrame:
+    """(key, node, hi, lo): the keys of each node, hashes of its sketch that others have too, without
+    the most frequent ones that a near pair can do without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                hi, lo = b.column("hi").to_numpy(), b.column("lo").to_numpy()
-                x = _as_bytes(hi, lo).astype(np.int32)
-                key = np.arange(len(TRIPLES), dtype=np.int32) << 24 | x[:, TRIPLES[:, 0]] << 16 | x[:, TRIPLES[:, 1]] << 8 | x[:, TRIPLES[:, 2]]
-                yield pa.record_batch([pa.array(key.ravel()), pa.array(np.repeat(hi, len(TRIPLES))), pa.array(np.repeat(lo, len(TRIPLES)))], ["key", "hi", "lo"])
+                each = [np.frombuffer(x, np.int32) for x in b.column("sketch").to_pylist()]
+                n = np.array([len(x) for x in each], np.int64)
+                key = np.concatenate(each) if each else np.zeros(0, np.int32)
+                spare = np.repeat(np.ceil(n * MIN_COMMON).astype(np.int32) - 1, n)
+                yield pa.record_batch([pa.array(key), pa.array(np.repeat(b.column("node").to_numpy(), n)), pa.array(spare)], ["key", "node", "spare"])
 
-    return sigs.mapInArrow(run, "key int, hi bigint, lo bigint")
+    every = nodes.select("node", "sketch").mapInArrow(run, "key int, node bigint, spare int")
+    often = every.withColumn("often", F.count("*").over(Window.partitionBy("key"))).filter("often > 1")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("often").desc(), "key"))
+    kept = often.withColumn("rank", rank).filter("rank > spare").select("key", "node")
+    return kept.join(nodes.select("node", "hi", "lo"), "node").select("key", "node", "hi", "lo")
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which rows of x are near those of y: enough shared bytes, and the distance verified."""
-    z = x ^ y
-    shared = (z == 0).sum(axis=1)
-    return (shared >= MIN_SHARED) & (np.bitwise_count(z.view(np.uint64)).sum(axis=1) <= VERIFY)
+    """Which rows of x are within VERIFY bits of those of y."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1) <= VERIFY
 
 
 def _explore(x: np.ndarray) -> list[tuple[int, int]]:
@@ -143,26 +151,27 @@ def _explore(x: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def near_edges(sigs: DataFrame) -> DataFrame:
-    """(a, b) of signatures as 16 bytes: edges with the same components as all near pairs that meet."""
+def near_edges(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes: edges with the same components as all pairs within VERIFY bits that meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (np.zeros(0, np.int32), np.zeros((0, 16), np.uint8))
+        kept = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 16), np.uint8))
         batches, last = iter(batches), False
-        seen: set[tuple[bytes, bytes]] = set()
+        seen: set[tuple[int, int]] = set()
         while not last:
             b = next(batches, None)
             last = b is None
-            key, x = kept
+            key, node, x = kept
             if b is not None:
                 key = np.concatenate([key, b.column("key").to_numpy()])
+                node = np.concatenate([node, b.column("node").to_numpy()])
                 x = np.concatenate([x, _as_bytes(b.column("hi").to_numpy(), b.column("lo").to_numpy())])
             if not len(key):
                 continue
             cut = len(key) if last else int(np.searchsorted(key, key[-1]))  # the last list may go on
-            kept = key[cut:], x[cut:]
-            key, x = key[:cut], np.ascontiguousarray(x[:cut])
-            at = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
+            kept = key[cut:], node[cut:], x[cut:]
+            key, node, x = key[:cut], node[:cut], np.ascontiguousarray(x[:cut])
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.append(at, len(key)))
             edges: list[tuple[int, int]] = []
             for m in range(2, 9):  # short lists: all pairs, over all lists at once
@@ -172,42 +181,41 @@ def near_edges(sigs: DataFrame) -> DataFrame:
                     edges += zip((hit + i).tolist(), (hit + j).tolist())
             for s, m in zip(at[size > 8].tolist(), size[size > 8].tolist()):
                 edges += [(s + i, s + j) for i, j in _explore(x[s : s + m])]
-            new = {(p, q) if p > q else (q, p) for i, j in edges for p, q in [(x[i].tobytes(), x[j].tobytes())]} - seen
+            new = {(p, q) if p > q else (q, p) for i, j in edges for p, q in [(int(node[i]), int(node[j]))]} - seen
             seen = new if len(seen) > 200_000 else seen | new
-            yield pa.record_batch([pa.array([p for p, _ in new], pa.binary()), pa.array([q for _, q in new], pa.binary())], ["a", "b"])
+            yield pa.record_batch([pa.array([p for p, _ in new], pa.int64()), pa.array([q for _, q in new], pa.int64())], ["a", "b"])
 
     # a list never spans two parts; sorted, its rows follow one another
-    lists = postings(sigs).repartition(F.col("key")).sortWithinPartitions("key")
-    return lists.mapInArrow(run, "a binary, b binary").distinct()
+    lists = postings(nodes).repartition(F.col("key")).sortWithinPartitions("key")
+    return lists.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def like(edges: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The edges (a, b) whose ends share MIN_COMMON of their shingles. sketches: (node, sketch)."""
-    one = sketches.groupBy("node").agg(F.min("sketch").alias("sketch"))
-    both = edges.join(one.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+def like(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges (a, b) whose ends share MIN_COMMON of their shingles."""
+    both = edges.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = pa.array([i for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())) if common_share(x, y) >= MIN_COMMON], pa.int32())
             yield pa.record_batch([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, keep_id, keep_key, copies): every document that has a near copy, with the
     document of its group that stays: the least doc_id, then text_key (a null doc_id comes last)."""
     sigs = materialise(signatures(docs), "signatures")
-    node = F.unhex(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
-    edges = like(near_edges(sigs.select("hi", "lo").distinct()), sigs.select(node.alias("node"), "sketch"))
+    nodes = nodes_of(sigs)
+    edges = like(near_edges(nodes), nodes)
     from .components import components
 
     roots = components(edges)
-    found = sigs.select("doc_id", "text_key", "hi", "lo").distinct().withColumn("node", node).join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    found = sigs.distinct().join(nodes, ["hi", "lo", "sketch"]).join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
     order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = found.select("doc_id", "text_key", F.first("doc_id").over(order).alias("keep_id"), F.first("text_key").over(order).alias("keep_key"), F.count("*").over(order).alias("copies")).filter("copies > 1")
     out = materialise(out, "groups")
-    discard(sigs)
+    discard(sigs, nodes)
     return out
 
 
