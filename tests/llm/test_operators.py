@@ -351,6 +351,25 @@ def test_simhash_finds_all_pairs_to_the_last_bit(spark):
     assert gone == near
 
 
+def test_simhash_checks_shingles_of_each_document(spark):
+    r, words = random.Random(29), vocabulary(29)
+    w = list(dict.fromkeys(text(r, words, 600).split()))[:300]
+    near = [" ".join(w[:k] + ["foreign"] + w[k + 1 :]) for k in range(50, 250, 10)]
+    orders = []  # the same words in other orders: the signature of w, no shingle in common
+    for _ in range(8):
+        orders.append(r.sample(w, len(w)))
+    texts = [" ".join(w), *near] + [" ".join(o) for o in orders] + [" ".join(orders[0][:-1] + ["foreign"])]
+    df = frame(spark, texts)
+    gone = {x.doc_id: x.keep_id for x in simhash.near_duplicates(df).collect()}
+    assert gone == {i: 0 for i in range(1, 21)} | {29: 21}
+    h, bits = HashCache(), simhash._Bits()  # a list in which unlike p is near both q and r
+    sig = [np.frombuffer(simhash.signature({*t.split()}, bits), ">i8") for t in (texts[21], texts[0], texts[1])]
+    rows = [(n, int(s[0]), int(s[1]), bytearray(simhash.sketch(t.split(), h))) for n, (s, t) in enumerate(zip(sig, (texts[21], texts[0], texts[1])))]
+    nodes = spark.createDataFrame(rows, "node bigint, hi bigint, lo bigint, sketch binary")
+    roots = {x.node: x.root for x in simhash.alike(spark.createDataFrame([(1, 0), (2, 0)], "a bigint, b bigint"), nodes).collect()}
+    assert roots == {0: 0, 1: 1, 2: 1}
+
+
 def test_simhash_edges(spark, edge):
     left = simhash.drop_near_duplicates(edge).collect()
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in left) == sorted([(False, i) for i in (1, 2, 2, 3, 4, 5, 6, 7, 8, 9)] + [(True, 0)])

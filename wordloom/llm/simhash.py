@@ -16,7 +16,8 @@ ceil(n / 4) - 1 shared ones after it. Frequent boilerplate is what is left out.
 
 Documents of equal signature and sketch are one entry (node) of the index, so exact copies cost
 nothing. Within a list, nodes are compared breadth-first: those that are found near one leave the
-list's unvisited part, hence a list of m copies takes about m comparisons.
+list's unvisited part, hence a list of m copies takes about m comparisons. That joins all pairs within
+VERIFY bits; each component is then divided by both checks, pair by pair, with all its sketches at hand.
 
 Nulls and edges: a null or empty text, or one without letters and digits, has no signature and is
 near nothing. Rows that agree in doc_id and text are one document. A null doc_id is a document of
@@ -152,7 +153,8 @@ def _explore(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def near_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b) of nodes: edges with the same components as all pairs within VERIFY bits that meet."""
+    """(a, b) of nodes: edges with the same components as all pairs within VERIFY bits that meet; the
+    shingles aren't looked at yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 16), np.uint8))
@@ -190,16 +192,30 @@ def near_edges(nodes: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def like(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges (a, b) whose ends share MIN_COMMON of their shingles."""
-    both = edges.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = pa.array([i for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())) if common_share(x, y) >= MIN_COMMON], pa.int32())
-            yield pa.record_batch([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
+def alike(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): for each node of the edges' components the least node that near pairs connect it
+    with. A component is compared within itself, so that a node which only one check accepts speaks
+    for no other: what leaves the unvisited part has passed both with the very node that found it."""
+    from .components import components
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        node, sketches = t.column("node").to_numpy(), t.column("sketch").to_pylist()
+        x = _as_bytes(t.column("hi").to_numpy(), t.column("lo").to_numpy())
+        root, left = node.copy(), np.arange(len(node))
+        while len(left):
+            first, left = left[0], left[1:]
+            queue = [first]
+            while queue and len(left):
+                p = queue.pop()
+                hit = _near(x[left], x[p])
+                hit[hit] = [common_share(sketches[p], sketches[q]) >= MIN_COMMON for q in left[hit]]
+                root[left[hit]] = node[first]
+                queue += list(left[hit])
+                left = left[~hit]
+        return pa.table({"node": node, "root": root})
+
+    return components(edges).join(nodes, "node").groupBy("root").applyInArrow(run, "node bigint, root bigint")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -207,10 +223,7 @@ def groups(docs: DataFrame) -> DataFrame:
     document of its group that stays: the least doc_id, then text_key (a null doc_id comes last)."""
     sigs = materialise(signatures(docs), "signatures")
     nodes = nodes_of(sigs)
-    edges = like(near_edges(nodes), nodes)
-    from .components import components
-
-    roots = components(edges)
+    roots = alike(near_edges(nodes), nodes)
     found = sigs.distinct().join(nodes, ["hi", "lo", "sketch"]).join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
     order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = found.select("doc_id", "text_key", F.first("doc_id").over(order).alias("keep_id"), F.first("text_key").over(order).alias("keep_key"), F.count("*").over(order).alias("copies")).filter("copies > 1")
