@@ -173,6 +173,29 @@ def test_substring_against_brute_force(spark):
     assert substring.repeated_spans(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_substring_tries_later_holders(spark):
+    r, words = random.Random(24), vocabulary(24)
+    filler = lambda: text(r, words, r.randint(30, 90)).split()
+    docs = []
+    for i in range(30):  # the first holder has 25-49 words of it, or more but not all
+        p = text(r, words, r.choice([50, 50, 52, 60, 70, 120])).split()
+        part, cut = r.randint(25, 49) if i % 3 else r.randint(25, 90), r.choice([0, 1])
+        docs += [filler() + (p[:part] if cut else p[-part:]) + filler(), *(filler() + p + filler() for _ in range(3))]
+    p = text(r, words, 60).split()
+    docs += [p[5:35] + filler() + p + filler(), filler() + p]  # the whole is the first holder's second place
+    got = substring.repeated_spans(frame(spark, [" ".join(d) for d in docs])).collect()
+    covered = [set() for _ in docs]
+    for x in got:
+        assert x.n_words >= 50 and x.first_id < x.doc_id
+        assert docs[x.doc_id][x.start : x.start + x.n_words] == docs[x.first_id][x.first_start : x.first_start + x.n_words]
+        covered[x.doc_id].update(range(x.start, x.start + x.n_words))
+    earlier = set()
+    for d, have in zip(docs, covered):  # all pairs: every window of 50 words that an earlier document has
+        own = [tuple(d[i : i + 50]) for i in range(len(d) - 49)]
+        assert have == {k for i, w in enumerate(own) if w in earlier for k in range(i, i + 50)}
+        earlier.update(own)
+
+
 def test_substring_index_is_incremental_and_compacts(spark, tmp_path):
     r, words = random.Random(14), vocabulary(14)
     p = text(r, words, 60)

@@ -10,9 +10,11 @@ match extended to both sides as far as they agree. Spans of at least MIN_WORDS =
 batch's new hashes are its own run, and FANOUT runs of one level are compacted into one of the next.
 
 Each fingerprint is compared with the first document that has it, so work is linear in the input
-however often a passage repeats, and the result doesn't depend on the number of batches. A span that
-a document shares with a later copy only (as it parts from the first one within 25 words) can be
-found shorter or be missed; measured recall against all shared spans: see the README and tests/llm.
+however often a passage repeats, and the result doesn't depend on the number of batches. That document
+may have less than 50 words of the passage, or less than a later one has. So for each fingerprint around
+which some window of 50 words isn't in a verified span, and which has a third place, all windows of 50
+words about all its places are hashed, and what matches is verified with the first document that has the
+whole window. Each window of 50 words that any earlier document has is thus in some span.
 
 Nulls and edges: null, empty and shorter texts have no spans. Rows that agree in doc_id and text are
 one document, so repeated rows are not each other's copies. A repeat within one document doesn't
@@ -102,21 +104,22 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds a batch (doc_id, text_key, text) whose documents follow all that the index has;
-        returns its probes: places whose hash an earlier document has, with the first such place."""
+        returns its probes: places whose hash an earlier document has, with the first such place; and
+        a document's further places of a hash that it has first itself, with the first one."""
         place = F.struct("doc_id", "text_key", "pos")
         rows = _prints(docs).withColumn("e", F.min(place).over(Window.partitionBy("h")))
         for i, (_, _, table) in enumerate(self.runs):  # hashes of runs are disjoint; no shuffle of a run
             old = self.spark.table(table).filter("src_pos is null").select(F.col("h").alias(f"h{i}"), F.struct("doc_id", "text_key", "pos").alias(f"e{i}"))
             rows = rows.join(old, F.col("h") == F.col(f"h{i}"), "left").withColumn("e", F.coalesce(f"e{i}", "e")).drop(f"h{i}", f"e{i}")
         own = F.col("doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("text_key").eqNullSafe(F.col("e.text_key"))
-        rows = rows.filter(~own | (F.col("pos") == F.col("e.pos")))
+        entry = own & (F.col("pos") == F.col("e.pos"))
 
         def src(name: str) -> Column:
-            return F.when(~own, F.col(f"e.{name}"))
+            return F.when(~entry, F.col(f"e.{name}"))
 
         run = self._write(rows.select("h", "doc_id", "text_key", "pos", src("doc_id").alias("src_id"), src("text_key").alias("src_key"), src("pos").alias("src_pos")), 0)
         self.runs.append(run)
-        return self.spark.table(run[2]).filter("src_pos is not null").drop("h")
+        return self.spark.table(run[2]).filter("src_pos is not null")
 
     def compact(self) -> None:
         """Merges FANOUT runs of one level into one of the next, as long as there are."""
@@ -163,9 +166,24 @@ def match(doc: list[str], first: list[str], hits: list[tuple[int, int]]) -> list
     return out
 
 
+def open_hits(n: int, spans: list[tuple[int, int, int]], hits: list[tuple[int, int]]) -> list[int]:
+    """Places in hits of those around which a text of n words has a window of MIN_WORDS, with all K
+    words from the hit on, that is in no span."""
+    out = []
+    for at, (p, _) in enumerate(hits):
+        i, last = max(0, p - (MIN_WORDS - K)), min(p, n - MIN_WORDS)
+        for start, words, _ in sorted(spans):
+            if start <= i:
+                i = max(i, start + words - MIN_WORDS + 1)
+        if i <= last:
+            out.append(at)
+    return out
+
+
 def _verify(docs: DataFrame, probes: DataFrame) -> DataFrame:
-    """SPANS of the probes, from the words of both texts."""
-    pairs = materialise(probes.groupBy("doc_id", "text_key", "src_id", "src_key").agg(F.collect_list(F.struct("pos", "src_pos")).alias("hits")), "pairs")
+    """SPANS of the probes, from the words of both texts, with a null h; and rows of nothing but an h,
+    that of a probe with open windows."""
+    pairs = materialise(probes.groupBy("doc_id", "text_key", "src_id", "src_key").agg(F.collect_list(F.struct("pos", "src_pos", "h")).alias("hits")), "pairs")
     needed = pairs.select("doc_id", "text_key").union(pairs.select("src_id", "src_key")).distinct()
     needed = materialise(needed.select(F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key")), "needed")
     texts = docs.join(sized(needed), F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("text_key") == F.col("n_key")), "left_semi").dropDuplicates(["doc_id", "text_key"])
@@ -180,16 +198,62 @@ def _verify(docs: DataFrame, probes: DataFrame) -> DataFrame:
             found = []
             for r in b.to_pylist():
                 hits = [(h["pos"], h["src_pos"]) for h in r["hits"]]
-                found += [(r["doc_id"], r["text_key"], i, n, r["src_id"], r["src_key"], j) for i, n, j in match(words_of(r["text"]), words_of(r["f_text"]), hits)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-            columns = list(zip(*found)) if found else [[]] * 7
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "text_key", "start", "n_words", "first_id", "first_key", "first_start"])
-
-    out = materialise(both.select("doc_id", "text_key", "text", "src_id", "src_key", "f_text", "hits").mapInArrow(run, SPANS), "spans")
+                words = words_of(r["text"])
+                spans = match(words, words_of(r["f_text"]), hits)
+                found += [(r["doc_id"], r["text_key"], i, n, r["src_id"], r["src_key"], j, None) for i, n, j in spans]
+                found += [(None,) * 7 + (h,) for h in {r["hits"][at]["h"] for at in open_hits(len(words), spans, hits)} - {None}]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            columns = list(zip(*found)) if found else [[]] * 8
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "text_key", "start", "n_words", "first_id", "first_key", "first_start", "h"])
+
+    out = materialise(both.select("doc_id", "text_key", "text", "src_id", "src_key", "f_text", "hits").mapInArrow(run, SPANS + ", h bigint"), "spans")
     discard(pairs, needed, texts)
     return out
 
 
+def _windows(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(h, doc_id, text_key, pos): the windows of MIN_WORDS words that hold all K words from a place on.
+    places: (doc_id, text_key, pos)."""
+    by_doc = places.groupBy(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key")).agg(F.collect_set("pos").alias("at"))
+    texts = docs.dropDuplicates(["doc_id", "text_key"]).join(by_doc, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = HashCache()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                flat, counts = hash_words(b.column("text").to_pylist(), cache)
+                hashes, first = window_hashes(flat, counts, MIN_WORDS), starts(counts)
+                wanted = np.zeros(len(flat), bool)
+                for n, at in zip(first.tolist(), b.column("at").to_pylist()):
+                    for p in at:
+                        wanted[n + max(0, p - (MIN_WORDS - K)) : n + p + 1] = True
+                inside = np.repeat(first + np.maximum(counts - MIN_WORDS, -1), counts) >= np.arange(len(flat))
+                take = np.flatnonzero(wanted & inside)
+                of = np.repeat(np.arange(len(counts)), counts)[take]
+                pos = pa.array(take - first[of], pa.int32())
+                of = pa.array(of, pa.int64())
+                yield pa.record_batch([pa.array(hashes[take].view(np.int64)), b.column("doc_id").take(of), b.column("text_key").take(of), pos], ["h", "doc_id", "text_key", "pos"])
+
+    return texts.select("doc_id", "text_key", "text", "at").mapInArrow(run, "h bigint, doc_id bigint, text_key bigint, pos int")
+
+
+def _later_holders(docs: DataFrame, probes: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Probes of whole windows of MIN_WORDS words about all places of hashes (h), each with the first
+    document that has the window. One is left of those that lie in one span."""
+    hot = materialise(probes.join(hashes, "h", "left_semi"), "hot")
+    hot_again = hot.join(hot.groupBy("h").count().filter("count > 1"), "h", "left_semi")  # a third place
+    places = hot_again.select("doc_id", "text_key", "pos").union(hot_again.select("src_id", "src_key", "src_pos"))
+    rows = _windows(docs, places).withColumn("e", F.min(F.struct("doc_id", "text_key", "pos")).over(Window.partitionBy("h")))
+    rows = rows.filter(~(F.col("doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("text_key") == F.col("e.text_key"))))
+    rows = rows.select("doc_id", "text_key", "pos", F.col("e.doc_id").alias("src_id"), F.col("e.text_key").alias("src_key"), F.col("e.pos").alias("src_pos"))
+    lie = ["doc_id", "text_key", "src_id", "src_key", (F.col("pos") - F.col("src_pos")).alias("shift"), F.floor(F.col("pos") / MIN_WORDS).alias("part")]
+    one = rows.groupBy(*lie).agg(F.min(F.struct("pos", "src_pos")).alias("hit"))
+    out = materialise(one.select("doc_id", "text_key", F.col("hit.pos").alias("pos"), "src_id", "src_key", F.col("hit.src_pos").alias("src_pos"), F.lit(None).cast("bigint").alias("h")), "later")
+    discard(hot)
+    return out
+
+
 def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
     """SPANS: each span of a document that an earlier document has, with its place there.
 
@@ -215,8 +279,12 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: FingerprintIn
         every = probes[0]
         for p in probes[1:]:
             every = every.union(p)
-        out = _verify(docs, every)
-        discard(*probes)
+        foreign = ~(F.col("doc_id").eqNullSafe(F.col("src_id")) & F.col("text_key").eqNullSafe(F.col("src_key")))
+        found = _verify(docs, every.filter(foreign))
+        later = _later_holders(docs, every, found.filter("h is not null").select("h").distinct())
+        more = _verify(docs, later)
+        out = materialise(found.filter("h is null").drop("h").union(more.drop("h")).distinct(), "spans")
+        discard(*probes, later, found, more)
         if index is None:
             own.drop()
     finally:
