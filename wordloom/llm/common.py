@@ -6,9 +6,11 @@ import re
 import tempfile
 import uuid
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 class HashCache(dict):
     """Word to 64-bit hash; emptied when full, so that a worker's memory stays bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -53,6 +55,12 @@ def hash_words(texts: Iterable[str | None], cache: HashCache) -> tuple[np.ndarra
     return np.frombuffer(flat, np.uint64) if len(flat) else np.zeros(0, np.uint64), np.array(counts, np.int64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending; by a sort, which is many times as fast as a hash table here."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Final avalanche of a 64-bit hash."""
     h = h ^ (h >> np.uint64(33))
@@ -100,19 +108,8 @@ def window_hashes(flat: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _slide(values: np.ndarray, w: int, op) -> np.ndarray:
-    """op over the w values from each place on; the array must end in neutral values."""
-    out, width = values, 1
-    while width < w:
-        step = min(width, w - width)
-        moved = out.copy()
-        moved[:-step] = out[step:]
-        out, width = op(out, moved), width + step
-    return out
-
-
 def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Places that hold the least hash of some window of w places (all places, on a tie).
+    """Places that hold the least hash of some window of w places, the last of several.
 
     Windows reach over a text's ends, where only INF lies, so that a text of fewer than w
     hashes gives its least one. Takes hashes of k >= w words: the k - 1 INF between two texts
@@ -120,13 +117,32 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     """
     if not len(hashes):
         return np.zeros(0, np.int64)
-    padded = np.concatenate([np.full(w, INF), hashes, np.full(w, INF)])
-    least = _slide(padded, w, np.minimum)
-    least[least == INF] = 0
-    # the window from place s on covers p where s is in p - w + 1 .. p
-    best = _slide(np.concatenate([least, np.zeros(w, np.uint64)]), w, np.maximum)
-    best = best[1 : 1 + len(hashes)]
-    return np.flatnonzero((hashes != INF) & (best == hashes))
+    edge = np.full(w - 1, INF)
+    least = np.concatenate([edge, hashes, edge])
+    at, width = np.arange(len(least)), 1
+    while width < w:
+        step = min(width, w - width)
+        later = least[step:] <= least[:-step]
+        least = np.where(later, least[step:], least[:-step])
+        at, width = np.where(later, at[step:], at[:-step]), width + step
+    picked = np.zeros(len(hashes) + 2 * w, bool)
+    picked[at[least != INF]] = True
+    return np.flatnonzero(picked) - (w - 1)
+
+
+#: Characters (bytes) of text that an operator's Python code takes up at once; one text may be longer.
+SLICE_CHARS = 1 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_CHARS, columns: tuple[str, ...] = ("text",)) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that their texts have about most bytes, and one row at least."""
+    for b in batches:
+        ends = np.cumsum(sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
 
 
 def text_key() -> Column:
@@ -134,13 +150,29 @@ def text_key() -> Column:
     return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session names no other bound.
+ARROW_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts can be long: Spark's own bound of 64 MB a batch, in both directions, on both sides and in
+    each task, takes more memory than the work itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder. One of our own only where none is set and all runs on this machine,
+    as in tests; on a cluster a folder that is not shared would lose data, so that is an error."""
+    bound_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         set_one = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_one.isDefined():
             return set_one.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         path = tempfile.mkdtemp(prefix="wordloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -173,7 +205,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    """df with a broadcast hint if it has at most most_rows rows, counted; else as it is, for a
-    shuffle join. For materialised frames of a few numbers a row."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+#: Most bytes of a side that is broadcast, by its rows' own sizes.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(df: DataFrame, row_bytes: Column | int = 64) -> DataFrame:
+    """df with a broadcast hint if its rows, of row_bytes each, have at most BROADCAST_BYTES together;
+    else as it is, for a shuffle join with the same result. df is a materialised frame."""
+    if isinstance(row_bytes, int):
+        small = df.limit(BROADCAST_BYTES // row_bytes + 1).count() <= BROADCAST_BYTES // row_bytes
+    else:
+        small = (df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0) <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df
