@@ -6,14 +6,16 @@ words leaves at least one fingerprint on both sides. Fingerprints of documents a
 are joined, each hit is extended to both sides as far as the words themselves agree, and spans of at
 least 13 words are reported: exactly the maximal shared spans of that length, whatever the hashes.
 
-The benchmark's fingerprints go to the workers when they are at most BROADCAST_LIMIT rows (counted
-first); a document is then read once and nothing is shuffled. Beyond it both sides' fingerprints are
+The benchmark's fingerprints and the texts of the items that have any go to the workers when they have at
+most BROADCAST_LIMIT bytes (counted first); a document is then read once and nothing is shuffled. Beyond it both sides' fingerprints are
 joined by shuffle and only documents that have a hit are read again. The results are the same.
 
 Nulls and edges: null and empty texts share nothing. An item of K to 12 words counts when a document
 has the whole of it (all K-word hashes are then looked up, not the winnowed ones only); an item of
 fewer than K words never counts. Null ids are kept as they are; repeated rows give repeated-free
-results, as the result has distinct rows; other columns pass by; empty tables give empty results.
+results, as the result has distinct rows. Texts of one id (ties) are searched each. A very long text takes
+time of its length and of its number of shared spans: where text and item both repeat a phrase, each
+pair of places is a span of its own. Other columns of any name pass by; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INF, HashCache, hash_words, materialise, starts, text_key, window_hashes, winnow, words_of
+from .common import INF, HashCache, discard, hash_words, materialise, sized, slices, starts, text_key, window_hashes, winnow, words_of
 
 K, WINDOW = 7, 7
 MIN_WORDS = K + WINDOW - 1
-BROADCAST_LIMIT = 1_000_000
+BROADCAST_LIMIT = 32 << 20
 _SCHEMA = "doc_id bigint, item_id bigint, doc_start int, item_start int, n_words int"
 _HIT = np.dtype([("hash", "u8"), ("item", "i8"), ("at", "i4")])
 
@@ -47,8 +49,8 @@ def fingerprints(texts: list[str | None], cache: HashCache, every: bool) -> tupl
     return hashes[at], of, at - starts(counts)[of] if len(at) else at
 
 
-def spans(doc: list[str], item: list[str], hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Maximal spans (start in doc, start in item, words) around hits that are long enough."""
+def spans(doc: list[str], item: list[str], hits: list[tuple[int, int]], one: bool = False) -> list[tuple[int, int, int]]:
+    """Maximal spans (start in doc, start in item, words) around hits that are long enough; or one."""
     done: dict[int, int] = {}
     found = []
     for p, q in sorted(hits):
@@ -63,6 +65,8 @@ def spans(doc: list[str], item: list[str], hits: list[tuple[int, int]]) -> list[
         done[p - q] = i + n
         if n and n >= _needed(len(item)):
             found.append((i, j, n))
+            if one:
+                break
     return found
 
 
@@ -92,53 +96,53 @@ def _rows(found: list[tuple], names: list[str]) -> pa.RecordBatch:
 def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_limit: int = BROADCAST_LIMIT, keyed: bool = False) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words), distinct: every maximal shared span.
 
-    keyed: with text_key beside doc_id, which tells rows of one doc_id apart.
+    keyed: with text_key beside doc_id, which tells rows of one doc_id apart, and one span for each
+    document and item, which is enough to drop it.
     """
     names = ["doc_id", *["text_key"] * keyed, "item_id", "doc_start", "item_start", "n_words"]
     schema = _SCHEMA.replace("doc_id bigint", "doc_id bigint, text_key bigint") if keyed else _SCHEMA
     items = benchmark.select("item_id", "text").filter("text is not null").distinct()
     items = materialise(items.withColumn("item", F.xxhash64("item_id", "text")), "items")
     prints = materialise(_item_prints(items), "prints")
+    size = (prints.count() * 32 + (items.join(prints.select("item").distinct(), "item", "left_semi").agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0))
     every = prints.filter("short").limit(1).count() > 0
     source = docs.select("doc_id", text_key().alias("text_key"), "text")
 
-    if prints.count() <= broadcast_limit:
+    if size <= broadcast_limit:
         table = prints.orderBy("hash", "item", "item_at").toPandas()
         known = np.rec.fromarrays([table["hash"].to_numpy().view(np.uint64), table["item"].to_numpy(), table["item_at"].to_numpy()], dtype=_HIT)
         known = known[np.argsort(known["hash"], kind="stable")]
-        texts = {i: (d, words_of(t)) for d, t, i in items.select("item_id", "text", "item").toLocalIterator()}
+        used = items.join(prints.select("item").distinct(), "item", "left_semi")
+        texts = {i: (d, words_of(t)) for d, t, i in used.select("item_id", "text", "item").collect()}
+        discard(items, prints)
         shared = docs.sparkSession.sparkContext.broadcast((known, texts))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (known, texts), cache = shared.value, HashCache()
-            for b in batches:
-                column = b.column("text").to_pylist()
-                found = []
-                for lo in range(0, len(column), 1000):
-                    part = column[lo : lo + 1000]
-                    h, of, at = fingerprints(part, cache, every)
-                    hit = np.flatnonzero(np.isin(h, known["hash"], kind="sort")) if len(known) else []
-                    by_pair: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                    for x in hit:
-                        for k in range(np.searchsorted(known["hash"], h[x], "left"), np.searchsorted(known["hash"], h[x], "right")):
-                            by_pair.setdefault((int(of[x]), int(known["item"][k])), []).append((int(at[x]), int(known["at"][k])))
-                    for (d, i), hits in by_pair.items():
-                        item_id, item = texts[i]
-                        row = lo + d
-                        ids = [b.column(n)[row].as_py() for n in names[: 1 + keyed]]
-                        found += [(*ids, item_id, *s) for s in spans(words_of(part[d]), item, hits)]
+            for b in slices(batches):
+                part, found = b.column("text").to_pylist(), []
+                h, of, at = fingerprints(part, cache, every)
+                hit = np.flatnonzero(np.isin(h, known["hash"], kind="sort")) if len(known) else np.zeros(0, np.int64)
+                lo, hi = np.searchsorted(known["hash"], h[hit], "left"), np.searchsorted(known["hash"], h[hit], "right")
+                by_pair: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                for x, first, last in zip(hit.tolist(), lo.tolist(), hi.tolist()):
+                    for k in range(first, last):
+                        by_pair.setdefault((int(of[x]), int(known["item"][k])), []).append((int(at[x]), int(known["at"][k])))
+                words = {d: words_of(part[d]) for d in {d for d, _ in by_pair}}
+                for (d, i), hits in by_pair.items():
+                    item_id, item = texts[i]
+                    ids = [b.column(n)[d].as_py() for n in names[: 1 + keyed]]
+                    found += [(*ids, item_id, *s) for s in spans(words[d], item, hits, keyed)]
                 yield _rows(found, names)
 
         return source.mapInArrow(scan, schema).distinct()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                h, of, at = fingerprints(b.column("text").to_pylist(), cache, every)
-                of = pa.array(of, pa.int64())
-                yield pa.record_batch([pa.array(h.view(np.int64)), b.column("doc_id").take(of), b.column("text_key").take(of), pa.array(at, pa.int32())], ["hash", "id", "key", "at"])
+        for b in slices(batches):
+            h, of, at = fingerprints(b.column("text").to_pylist(), cache, every)
+            of = pa.array(of, pa.int64())
+            yield pa.record_batch([pa.array(h.view(np.int64)), b.column("doc_id").take(of), b.column("text_key").take(of), pa.array(at, pa.int32())], ["hash", "id", "key", "at"])
 
     hits = source.mapInArrow(emit, "hash bigint, id bigint, key bigint, at int").join(prints, "hash")
     # a document's hits travel as one row an item, and join the texts that they name
@@ -150,15 +154,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_limit: int = B
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
-            yield _rows([(*[r[n] for n in names[: 2 + keyed]], *s) for r in rows for s in spans(words_of(r["text"]), words_of(r["item_text"]), [(h["at"], h["item_at"]) for h in r["hits"]])], names)
+            yield _rows([(*[r[n] for n in names[: 2 + keyed]], *s) for r in rows for s in spans(words_of(r["text"]), words_of(r["item_text"]), [(h["at"], h["item_at"]) for h in r["hits"]], keyed)], names)
 
-    return both.select(*names[: 2 + keyed], "text", "item_text", "hits").mapInArrow(verify, schema).distinct()
+    out = materialise(both.select(*names[: 2 + keyed], "text", "item_text", "hits").mapInArrow(verify, schema).distinct(), "spans")
+    discard(items, prints, pairs)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that share a span with an item; all columns stay."""
     found = materialise(contaminated(docs, benchmark, keyed=True).select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & text_key().eqNullSafe(F.col("__bad_key")), "left_anti")
+    return docs.join(sized(found), F.col("doc_id").eqNullSafe(F.col("__bad_id")) & text_key().eqNullSafe(F.col("__bad_key")), "left_anti")
 
 
 ORACLE = """
