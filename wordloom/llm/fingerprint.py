@@ -8,7 +8,8 @@ grouping is combined before the shuffle: of a text with a million copies each ta
 
 Nulls and edges: a null text has no fingerprint and is a group of its own; texts of white space only
 are all equal. keep_id is a group's least doc_id, null only if all of the group's are. Repeated rows
-are copies of each other. Other columns pass by; an empty table gives an empty result.
+are copies of each other, and so are rows of one doc_id (ties) if their texts are. A very long text takes
+time and memory of its own length. Other columns of any name pass by; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, sized, text_key
+from .common import discard, materialise, sized, slices, text_key
 
 DIGEST_BYTES = 16
 
@@ -42,7 +43,7 @@ def fingerprints(docs: DataFrame, n_bytes: int = DIGEST_BYTES) -> DataFrame:
     """(doc_id, text_key, digest), a row for each row of docs; a null digest for a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [None if t is None else digest(canonical(t), n_bytes) for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("text_key"), pa.array(found, pa.binary())], ["doc_id", "text_key", "digest"])
 
@@ -62,7 +63,7 @@ def exact_groups(docs: DataFrame, n_bytes: int = DIGEST_BYTES) -> DataFrame:
     read = keyed.join(sized(many), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             canon = [canonical(t) for t in b.column("text").to_pylist()]
             digests = pa.array([digest(c, n_bytes) for c in canon], pa.binary())
             yield pa.record_batch([b.column("doc_id"), b.column("text_key"), digests, pa.array([c.encode("utf-8", "surrogatepass") for c in canon], pa.binary())], ["doc_id", "text_key", "digest", "canon"])
@@ -70,7 +71,7 @@ def exact_groups(docs: DataFrame, n_bytes: int = DIGEST_BYTES) -> DataFrame:
     texts = read.mapInArrow(run, "doc_id bigint, text_key bigint, digest binary, canon binary")
     classes = texts.groupBy("digest", "canon").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"))
     # the text itself is needed below only where a fingerprint has several; one row's text, of 64 bits, stands for it else
-    classes = materialise(classes.select("digest", F.xxhash64("canon").alias("canon_key"), F.when(F.count("*").over(_by_digest()) > 1, F.col("canon")).alias("canon"), "keep_id", "copies"), "classes")
+    classes = materialise(classes.select("digest", F.xxhash64("canon").alias("canon_key"), F.when(F.count("*").over(Window.partitionBy("digest")) > 1, F.col("canon")).alias("canon"), "keep_id", "copies"), "classes")
     plain = classes.filter("canon is null").select("digest", "keep_id", "copies")
     rest = prints
     out = None
@@ -85,12 +86,6 @@ def exact_groups(docs: DataFrame, n_bytes: int = DIGEST_BYTES) -> DataFrame:
     return out
 
 
-def _by_digest():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("digest")
-
-
 ORACLE = r"""
 with c as (select doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g')) as canon from documents)
 select doc_id, case when canon is null then doc_id else min(doc_id) over (partition by canon) end as keep_id,

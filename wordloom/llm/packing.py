@@ -14,7 +14,7 @@ so the work is linear in the input and each task's memory is bounded; a shard lo
 rounding of its GROUPS patterns, against thousands of sequences.
 
 Nulls and edges: a null or empty text has 0 words and takes no room: one piece of 0 words with a
-null sequence. Repeated rows are packed each on their own. Ties go by doc_id (null first), then by
+null sequence. A very long text is as many pieces as it fills. Repeated rows are packed each on their own. Ties go by doc_id (null first), then by
 the text's hash. Other columns pass by; an empty table gives an empty result.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_key
+from .common import materialise, slices, text_key
 
 CAPACITY = 2048
 LARGE = 8
@@ -138,7 +138,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, large: int = LARGE, n_gr
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         n = pa.array([len(t.split()) if t else 0 for t in b.column("text").to_pylist()], pa.int32())
         yield pa.record_batch([b.column("doc_id"), b.column("text_key"), n], ["doc_id", "text_key", "n_words"])
 

@@ -8,9 +8,9 @@ root of twice the corpus). Where many groups have one size the heap would hand t
 whole rounds are taken at once; the outcome is the heap's own. Groups of one size are ranked by a
 hash of the group, in 256 parts, and look their shard up by size and rank.
 
-Nulls and edges: the null group is a group like others; a null text has 0 characters; groups of size
-0 go where the last least-loaded shard is. Repeated rows count each. Ties go by the hash, then the
-group. Other columns pass by; an empty table gives an empty result.
+Nulls and edges: the null group is a group like others; a null text has 0 characters, a very long one as
+many as it has; groups of size 0 go where the last least-loaded shard is. Repeated rows count each. Ties
+go by the hash, then the group. Other columns of any name pass by; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,9 +83,10 @@ def assign(docs: DataFrame, group: str = "source", shards: int = N_SHARDS) -> Da
 
 
 def sharded(docs: DataFrame, group: str = "source", shards: int = N_SHARDS) -> DataFrame:
-    """(doc_id, <group>, shard), a row for each row of docs."""
+    """(doc_id, <group>, shard), a row for each row of docs; the last is called assigned if the group is
+    a column shard."""
     found = sized(assign(docs, group, shards).select(F.col("grp").alias("__grp"), F.col("shard").alias("__shard")))
-    return docs.select("doc_id", group).join(found, F.col(group).eqNullSafe(F.col("__grp"))).select("doc_id", group, F.col("__shard").alias("shard"))
+    return docs.select("doc_id", group).join(found, F.col(group).eqNullSafe(F.col("__grp"))).select("doc_id", group, F.col("__shard").alias("assigned" if group == "shard" else "shard"))
 
 
 ORACLE = f"""

@@ -25,9 +25,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bound_batches, slices
+
 MARK = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 def load_vocabulary(path: str = TOKENIZER) -> tuple[list[tuple[str, float]], int, bool]:
@@ -107,11 +109,12 @@ class PieceCounter:
 def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens): a row for each row of docs. The vocabulary file is read by each worker's
     driver-side copy: its size is fixed, so it is broadcast."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(*shared.value)
-        for b in batches:
+        for b in slices(batches):
             yield pa.record_batch([b.column("doc_id"), pa.array([counter.count(t) for t in b.column("text").to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import scratch
+from .common import bound_batches, scratch, slices
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 28
@@ -79,6 +79,14 @@ def read_frame(file, frame: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(file.read_at(table[frame][0], sum(c for c, _ in table[:frame])), max_output_size=table[frame][1])
 
 
+def _files(root: str):
+    """pyarrow's file system for a folder, and the path there. Folders named by path, file:, hdfs:, s3: or
+    s3a: (which is s3: there), gs: or gcs: are supported; pyarrow raises for others."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", root))
+
+
 class _Bundle:
     def __init__(self, fs, path: str) -> None:
         import zstandard
@@ -113,11 +121,10 @@ def write_bundles(pages: DataFrame, root: str, frame_bytes: int = FRAME_BYTES, b
     """Writes pages (page_id, url, html) as bundles under root; returns the index (INDEX), read from
     its table there."""
     spark = pages.sparkSession
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as pafs
-
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = _files(root)
         fs.create_dir(f"{base}/bundles", recursive=True)
         part, bundle, name = TaskContext.get().partitionId(), None, None
 
@@ -127,7 +134,7 @@ def write_bundles(pages: DataFrame, root: str, frame_bytes: int = FRAME_BYTES, b
             columns = zip(*every) if every else [[]] * len(kinds)
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in INDEX.split(", ")])
 
-        for b in batches:
+        for b in slices(batches, columns=("html",)):
             nothing = []
             for page_id, url, html in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist()):
                 if html is None:
@@ -171,9 +178,7 @@ def read_records(index: DataFrame, root: str) -> DataFrame:
     holds one is read once a task, by its place in the seek table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as pafs
-
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = _files(root)
         for f in frames:
             out = []
             for bundle, of_bundle in f.groupby("bundle"):
