@@ -1,11 +1,17 @@
-"""From documents to packed training sequences: five stages, each over all that the one before kept."""
+"""From documents to packed training sequences: five stages, each over all that the one before kept.
+
+Nulls and edges, beyond what each operator's module states: rows with a null text or doc_id, empty and very
+long texts and columns of any name go through all stages; a null or empty text is kept by the first four
+and is a piece of no words in the last. Rows that repeat in doc_id and text count as near copies, of which
+one stays. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm import decontam, packing, quality, simhash, substring
-from wordloom.llm.common import read_table, scratch
+from wordloom.llm.common import discard, read_table, scratch
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,5 +50,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = scratch(spark, name.replace(" ", "-").lower())
         stage(spark, docs, sf_dir).write.parquet(path)
+        discard(docs)  # what the stage before wrote; the tables themselves are left alone
         docs = spark.read.parquet(path)
     return docs
