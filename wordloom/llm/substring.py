@@ -412,7 +412,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     discard(found)
     columns = docs.columns
     joined = docs.join(sized(by_doc, F.size("__spans") * 8 + 32), F.col("doc_id").eqNullSafe(F.col("__span_id")) & text_key().eqNullSafe(F.col("__span_key")), "left")
-    clean = joined.withColumn("text", F.arrow_udf(cut_all, "string")("text", "__spans")).filter(F.col("text").isNotNull() | F.col("__spans").isNull())
+    # evaluated once a row: the filter on its result isn't pushed below it with a copy of its own
+    cut_once = F.arrow_udf(cut_all, "string").asNondeterministic()
+    clean = joined.withColumn("text", cut_once("text", "__spans")).filter(F.col("text").isNotNull() | F.col("__spans").isNull())
     if "n_chars" in columns:
         clean = clean.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return clean.select(*columns)
