@@ -44,8 +44,8 @@ def scores(index, query, n=10):
     ],
 )
 def test_scores(spark, title, body, query, exact, xor):
-    assert scores(build(spark, [(title, body)]), query) == [(title, exact)] * bool(exact)
-    found = scores(build(spark, [(title, body)], "xor"), query)
+    assert scores(build(spark, [(title, body)], stop=("the",)), query) == [(title, exact)] * bool(exact)
+    found = scores(build(spark, [(title, body)], "xor", ("the",)), query)
     assert found == [(title, xor)] * bool(xor) or dict(found).get(title, 0) > xor  # a false positive may add
 
 
@@ -68,6 +68,37 @@ def test_search_many_equals_single(spark):
         assert sorted(many.get(k, [])) == sorted((r.rank, r.doc_id, r.score) for r in i.search(text, 10).collect())
 
 
+SCRIPTS = ["हिन्दी भाषा", "ภาษาไทย ดี", "اللغة العربيّة", "ΟΔΟΣ Straße İstanbul", "日本語 テキスト", "naïve e\u0301te\u0301"]
+
+
+def test_single_equals_batch_in_all_scripts(spark):
+    rows = [("Title", s) for s in SCRIPTS]
+    exact, xor = build(spark, rows), build(spark, rows, "xor8")
+    many = {}
+    for r in exact.search_many(spark.createDataFrame(list(enumerate(SCRIPTS)), "query_id int, query string"), 10).collect():
+        many.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+    for k, query in enumerate(SCRIPTS):
+        one = [(r.rank, r.doc_id, r.score) for r in exact.search(query, 10).collect()]
+        assert sorted(one) == sorted(many[k]) and k in [d for _, d, _ in one]
+        assert k in [r.doc_id for r in xor.search(query, 10).collect()]
+
+
+def test_default_stop_words(spark):
+    from wordloom.functions.stopwords import ENGLISH
+
+    assert len(ENGLISH) == 771 and {"ain't", "again", "first"} <= set(ENGLISH)
+    assert scores(build(spark, [("Title", "again first lighthouse")]), "again") == []
+
+
+def test_load_checks_what_was_saved(spark, tmp_path):
+    build(spark, [("One", "alpha"), ("Two", "beta")]).save(str(tmp_path / "i"))
+    docs = spark.read.parquet(str(tmp_path / "i/docs")).collect()
+    spark.createDataFrame(docs[:1], spark.read.parquet(str(tmp_path / "i/docs")).schema).write.mode("overwrite").parquet(str(tmp_path / "i/docs"))
+    with pytest.raises(StorageError, match="1 documents of 2"):
+        Index.load(spark, str(tmp_path / "i"))
+    assert Index.load(spark, str(tmp_path / "i"), check=False).count() == 1
+
+
 @pytest.mark.parametrize("kind", ["exact", "xor8"])
 def test_save_and_load(spark, tmp_path, kind):
     i = build(spark, [("Rust Guide", "observability details"), ("Other", "programming")], kind)
@@ -85,22 +116,22 @@ def test_stop_words_markup_and_unicode(spark):
     assert terms("The [Link](http://target.example) <b>bold</b>&amp;x don't don’t Über_snake42") == {"link", "bold", "x", "don't", "don", "t", "über", "snake"}
     assert terms("the", ()) == {"the"}
     assert spark.range(1).select(tokens(F.lit(None).cast("string")).alias("t")).first().t == []
-    assert query_tokens("Don't STOP-me 4 Été") == ["don't", "stop", "me", "été"]
+    assert query_tokens(spark, "Don't STOP-me 4 Été") == ["don't", "stop", "me", "été"]
 
 
 def test_json_cli_and_schema(spark, tmp_path, capsys):
     from wordloom.cli import main
 
-    posts = [{"name": "Bluetooth Speaker", "text": "waterproof, loud", "tags": ["x", 1, None, "y"], "link": "/a", "price": 42}, {"text": "no name", "link": "/b", "price": None}]
+    posts = [{"name": "Bluetooth Speaker", "text": "waterproof, loud", "tags": ["x", 1, None, "y"], "link": "/a", "price": 42}, {"text": "no lighthouse", "link": "/b", "price": None}]
     (tmp_path / "posts.json").write_text(json.dumps(posts))
     (tmp_path / "wordloom.toml").write_text('[schema]\nindexed_fields = ["name", "text", "tags"]\nmetadata_fields = ["price"]\nurl_field = "link"\n')
     main(["index", str(tmp_path / "posts.json"), str(tmp_path / "out")], spark)
     main(["search", str(tmp_path / "out"), "waterp", "-N", "1"], spark)
     assert capsys.readouterr().out.strip() == "Title: Bluetooth Speaker, Url: /a, Meta: 42"
-    main(["search", str(tmp_path / "out"), "no", "name", "--json"], spark)
+    main(["search", str(tmp_path / "out"), "no", "lighthouse", "--json"], spark)
     assert json.loads(capsys.readouterr().out)[0] == {"title": "/b", "url": "/b", "meta": ""}
     body = {r.url: r.body for r in prepare.project(json_posts.read_fields(spark, str(tmp_path / "posts.json")), load_schema(str(tmp_path))).collect()}
-    assert body == {"/a": "Bluetooth Speaker waterproof, loud x y", "/b": "no name"}
+    assert body == {"/a": "Bluetooth Speaker waterproof, loud x y", "/b": "no lighthouse"}
 
 
 def test_schema_errors(tmp_path):
@@ -125,8 +156,8 @@ def test_typed_posts(spark, tmp_path):
 
 
 def test_last_wins_backend_and_kinds(spark):
-    rows = spark.createDataFrame([(0, "T", "/t", "first"), (1, "T", "/t", "second")], "pos int, title string, url string, body string")
-    assert [r.body for r in SearchEngine().prepare(rows).collect()] == ["second"]
+    rows = spark.createDataFrame([(0, "T", "/t", "finch"), (1, "T", "/t", "heron")], "pos int, title string, url string, body string")
+    assert [r.body for r in SearchEngine().prepare(rows).collect()] == ["heron"]
     seen = []
 
     class Recorder(Backend):
@@ -135,13 +166,33 @@ def test_last_wins_backend_and_kinds(spark):
             return BACKENDS[IndexKind.EXACT].build(docs)
 
     SearchEngine().build_with(rows, Recorder())
-    assert {"second"} <= set(seen)
+    assert {"heron"} <= set(seen)
     assert str(IndexKind.parse("xor")) == "xor8"
     with pytest.raises(ValueError):
         IndexKind.parse("b-tree")
     assert Index.empty(spark).is_empty() and Index.empty(spark).search("x").count() == 0
 
 
+def test_codec_of_batches(spark):
+    import time
+
+    r = random.Random(3)
+    lists = [None, [], [0], [1 << 62, 127, 128], *[[r.randrange(1 << r.randint(1, 62)) for _ in range(r.randint(0, 9))] for _ in range(200)]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, x array<bigint>")
+    got = {r.i: r for r in rows.select("i", codec.varint_encode(F.col("x")).alias("b"), codec.varint_decode(codec.varint_encode(F.col("x"))).alias("y"), codec.prefix_sum(F.transform("x", lambda v: v % 1000)).alias("s")).collect()}
+    for i, x in enumerate(lists):
+        assert got[i].y == x and got[i].s == (None if x is None else [sum(v % 1000 for v in x[: k + 1]) for k in range(len(x))])
+        if x is not None:
+            plain = b""
+            for v in x:  # one number at a time
+                while v > 127:
+                    plain, v = plain + bytes([v & 127 | 128]), v >> 7
+                plain += bytes([v])
+            assert bytes(got[i].b) == plain
+    began = time.time()
+    assert codec._summed(__import__("pyarrow").array([[1] * 65_536]))[0].as_py() == list(range(1, 65_537)) and time.time() - began < 1
+
+
 def test_codec_and_invariants(spark):
     ids = sorted(random.Random(1).sample(range(1 << 40), 200))
     row = spark.createDataFrame([(ids,)], "ids array<bigint>")

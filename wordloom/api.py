@@ -90,7 +90,8 @@ class Index:
         spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
+    def load(spark: SparkSession, path: str, check: bool = True) -> Index:
+        """check: that the tables hold as many documents as were saved, and lists that keep the rules."""
         try:
             manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
             kind = IndexKind.parse(manifest["kind"])
@@ -100,7 +101,16 @@ class Index:
             raise
         except Exception as e:
             raise StorageError(f"{path} holds no index: {e}") from e
-        return Index(kind, spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/data"))
+        found = Index(kind, spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/data"))
+        if check:
+            if (n := found.count()) != manifest["docs"]:
+                raise StorageError(f"{path} holds {n} documents of {manifest['docs']}")
+            if kind is IndexKind.EXACT:
+                try:
+                    index.check(found.data)
+                except index.MalformedIndex as e:
+                    raise StorageError(f"{path}: {e}") from e
+        return found
 
     @staticmethod
     def from_filters(rows: DataFrame) -> Index:

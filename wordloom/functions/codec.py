@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +18,17 @@ def delta(ids: Column) -> Column:
     return F.transform(ids, lambda x, i: F.when(i == 0, x).otherwise(x - F.element_at(ids, F.greatest(i, F.lit(1)).cast("int"))))
 
 
+def _summed(gaps: pa.Array) -> pa.Array:
+    values, ends = gaps.flatten().to_numpy(), np.cumsum(pc.fill_null(gaps.value_lengths(), 0).to_numpy())
+    starts = np.append(0, ends[:-1]) if len(ends) else ends
+    sums = np.append(0, np.cumsum(values.astype(np.int64)))
+    out = sums[1:] - np.repeat(sums[starts], ends - starts)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out, pa.int64()), mask=pc.is_null(gaps) if gaps.null_count else None)
+
+
 def prefix_sum(gaps: Column) -> Column:
-    """Inverse of delta, in one pass."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    return F.aggregate(gaps, start, lambda a, g: F.struct(F.concat(a["out"], F.array(a["at"] + g)).alias("out"), (a["at"] + g).alias("at")), lambda a: a["out"])
+    """Inverse of delta: running sums of each list, over a whole batch of lists at once."""
+    return F.arrow_udf(_summed, "array<bigint>")(gaps)
 
 
 def varint_size(c: Column) -> Column:
@@ -29,37 +39,67 @@ def varint_size(c: Column) -> Column:
     return size.cast("bigint")
 
 
+def encode_all(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all numbers, end to end, and how many each has: seven bits a byte, the least first."""
+    if (numbers < 0).any():
+        raise CodecError("a negative number can't be encoded")
+    n = numbers.astype(np.uint64)
+    sizes = np.ones(len(n), np.int64)
+    for k in range(1, 9):
+        sizes += n >> np.uint64(7 * k) > 0
+    out, starts = np.zeros(int(sizes.sum()), np.uint8), np.cumsum(sizes) - sizes
+    for k in range(int(sizes.max(initial=0))):
+        has = sizes > k
+        more = (sizes[has] > k + 1).astype(np.uint8) << 7
+        out[starts[has] + k] = (n[has] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | more
+    return out, sizes
+
+
+def decode_all(data: np.ndarray, blobs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse of encode_all for blobs of so many bytes, end to end: all numbers, and how many each blob has."""
+    last = data < 128
+    ends = np.cumsum(blobs)
+    if (~last[ends[blobs > 0] - 1]).any():
+        raise CodecError("the bytes end within a number")
+    stop = np.flatnonzero(last)
+    start = np.append(0, stop[:-1] + 1) if len(stop) else stop
+    sizes = stop - start + 1
+    if (sizes > 10).any() or (data[stop[sizes == 10]] > 1).any():
+        raise CodecError("a number has more than 64 bits")
+    if not len(stop):
+        return np.zeros(0, np.int64), np.zeros(len(blobs), np.int64)
+    place = (np.arange(len(data)) - np.repeat(start, sizes)).astype(np.uint64)
+    values = np.bitwise_or.reduceat((data & 127).astype(np.uint64) << (place * np.uint64(7)), start)
+    before = np.append(0, np.cumsum(last))
+    return values.view(np.int64), before[ends] - before[ends - blobs]
+
+
 def encode(numbers: list[int]) -> bytes:
-    out = bytearray()
-    for n in numbers:
-        if n < 0:
-            raise CodecError("a negative number can't be encoded")
-        while n > 127:
-            out.append(n & 127 | 128)
-            n >>= 7
-        out.append(n)
-    return bytes(out)
+    return encode_all(np.array(numbers, np.int64))[0].tobytes()
 
 
 def decode(data: bytes) -> list[int]:
-    out, value, shift = [], 0, 0
-    for byte in data:
-        if shift > 63 or shift == 63 and byte > 1:
-            raise CodecError("a number has more than 64 bits")
-        value |= (byte & 127) << shift
-        shift += 7
-        if byte < 128:
-            out.append(value)
-            value = shift = 0
-    if shift:
-        raise CodecError("the bytes end within a number")
-    return out
+    return decode_all(np.frombuffer(data, np.uint8), np.array([len(data)]))[0].tolist()
+
+
+def _encoded(lists: pa.Array) -> pa.Array:
+    data, sizes = encode_all(lists.flatten().to_numpy())
+    ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy()))]
+    blobs = [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    return pa.array(blobs, pa.binary(), mask=pc.is_null(lists).to_numpy(zero_copy_only=False))
+
+
+def _decoded(blobs: pa.Array) -> pa.Array:
+    data = np.frombuffer(b"".join(x for x in blobs.to_pylist() if x), np.uint8)
+    values, counts = decode_all(data, pc.fill_null(pc.binary_length(blobs), 0).to_numpy().astype(np.int64))
+    ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()), mask=pc.is_null(blobs) if blobs.null_count else None)
 
 
 def varint_encode(ids: Column) -> Column:
     """Bytes of an array of numbers."""
-    return F.pandas_udf(lambda lists: lists.map(lambda x: encode([int(n) for n in x])), "binary")(ids)
+    return F.arrow_udf(_encoded, "binary")(ids)
 
 
 def varint_decode(data: Column) -> Column:
-    return F.pandas_udf(lambda blobs: blobs.map(decode), "array<bigint>")(data)
+    return F.arrow_udf(_decoded, "array<bigint>")(data)

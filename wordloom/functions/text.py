@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MIN_PREFIX = 3
@@ -45,8 +45,8 @@ def index_tokens(c: Column) -> Column:
 
 def without(terms: Column, stopwords: Iterable[str]) -> Column:
     """Distinct terms that are no stop words; an empty list of stop words leaves all."""
-    words = list(stopwords)
-    return F.array_except(terms, F.array(*map(F.lit, words))) if words else F.array_distinct(terms)
+    words, each = list(stopwords), F.array_distinct(terms)
+    return F.filter(each, lambda t: ~t.isin(words)) if words else each
 
 
 def index_terms(parts: Iterable[Column], stopwords: Iterable[str]) -> Column:
@@ -63,6 +63,6 @@ def prefix_key(term: Column) -> Column:
     return F.substring(term, 1, MIN_PREFIX)
 
 
-def query_tokens(query: str) -> list[str]:
-    """tokens() on the driver, for a literal query."""
-    return "".join(ch if ch.isalpha() or ch == "'" else " " for ch in query).lower().split()
+def query_tokens(spark: SparkSession, query: str) -> list[str]:
+    """tokens() of a literal query, by the very expression: what is a letter is decided in one place."""
+    return spark.sql("select 1").select(tokens(F.lit(query))).first()[0]

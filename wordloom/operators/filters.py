@@ -87,7 +87,7 @@ def member(filter_: Column, terms: Column) -> Column:
 
 def search_filter(filters: DataFrame, query: str, n: int) -> DataFrame:
     """(rank, doc_id, score); whole words only, but for titles."""
-    q = query_tokens(query)
+    q = query_tokens(filters.sparkSession, query)
     if not q:
         return ranked(filters.select("doc_id", F.lit(0).cast("bigint").alias("score")).filter("false"), n)
     title = sum((title_tier(F.col("title_terms"), t) for t in q), F.lit(0))

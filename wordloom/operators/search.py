@@ -66,7 +66,7 @@ def literal(spark: SparkSession, query: str) -> DataFrame:
 
 def search(docs: DataFrame, postings: DataFrame, query: str, n: int) -> DataFrame:
     """(rank, doc_id, score) of one query; only lists under its tokens' prefixes are read."""
-    keys = sorted({t[:MIN_PREFIX] for t in query_tokens(query)})
+    keys = sorted({t[:MIN_PREFIX] for t in query_tokens(docs.sparkSession, query)})
     # one literal query: a few rows, whatever the data
     q = F.broadcast(query_terms(literal(docs.sparkSession, query)))
     return ranked(hits(docs, postings.filter(F.col("p3").isin(keys)), q), n)

@@ -35,8 +35,13 @@ def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a warehouse folder where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that the cluster shares; a warehouse folder where none is named and all
+    runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/wordloom-{name}-{uuid.uuid4().hex}"
 
 
@@ -182,6 +187,7 @@ SEARCHES = {
     "search_exact_prefix": ("heit unge", 10),
     "search_exact_topn_edges": ("ble thon", 1_000_000_000),
     "search_exact_nothing": ("12 -- !", 10),
+    "search_unicode": ("für größe être", 10),
 }
 for _name, (_q, _n) in SEARCHES.items():
     query(sql.search(_q, _n), _name)(lambda spark, sf_dir, q=_q, n=_n: search.search(*built(spark, sf_dir), q, n))

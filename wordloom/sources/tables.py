@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_markup
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,10 +22,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("page_id").alias("doc_id"), F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), "url", F.lit("").alias("meta"), F.col("html").alias("body"))
 
 
-def visible(html):
-    return strip_markup(html)
-
-
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A product catalogue."""
     p = read(spark, sf_dir, "part")
