@@ -8,6 +8,8 @@ side only: of links and images the visible text stays, tags become spaces, entit
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,15 @@ MARKUP = [
 ]
 
 
+#: Each pattern matches only where one of these stands: other texts are left out of the search.
+MARKS = ("<", "&", "](")
+
+
 def strip_markup(c: Column) -> Column:
+    has, out = reduce(or_, [F.contains(c, F.lit(m)) for m in MARKS]), c
     for pattern, to in MARKUP:
-        c = F.regexp_replace(c, pattern, to)
-    return c
+        out = F.regexp_replace(out, pattern, to)
+    return F.when(has, out).otherwise(c)
 
 
 def clean(c: Column) -> Column:
@@ -34,9 +41,18 @@ def clean(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{IsAlphabetic}']", " ")
 
 
+#: Letters whose lower case is no letter throughout or depends on what is beside them, and two that are
+#: newer than the letters of regular expressions.
+LATE_CASE = ("İ", "Σ", "\ua7cb", "\ua7dc")
+
+
 def tokens(c: Column) -> Column:
-    """Tokens in order, with repeats; an empty array for null."""
-    return F.filter(F.split(F.lower(clean(F.coalesce(c, F.lit("")))), " "), lambda t: t != "")
+    """Tokens in order, with repeats; an empty array for null. Lower case first and one split give what
+    cleaning first gives, save for LATE_CASE."""
+    c = F.coalesce(c, F.lit(""))
+    late = reduce(or_, [F.contains(c, F.lit(x)) for x in LATE_CASE])
+    parts = F.when(late, F.split(F.lower(clean(c)), " +")).otherwise(F.split(F.lower(c), r"[^\p{IsAlphabetic}']+"))
+    return F.array_remove(parts, "")
 
 
 def index_tokens(c: Column) -> Column:
