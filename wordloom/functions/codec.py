@@ -85,13 +85,14 @@ def decode(data: bytes) -> list[int]:
 def _encoded(lists: pa.Array) -> pa.Array:
     data, sizes = encode_all(lists.flatten().to_numpy())
     ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy()))]
-    blobs = [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-    return pa.array(blobs, pa.binary(), mask=pc.is_null(lists).to_numpy(zero_copy_only=False))
+    valid = pc.is_valid(lists).buffers()[1] if lists.null_count else None
+    return pa.Array.from_buffers(pa.binary(), len(lists), [valid, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
 def _decoded(blobs: pa.Array) -> pa.Array:
-    data = np.frombuffer(b"".join(x for x in blobs.to_pylist() if x), np.uint8)
-    values, counts = decode_all(data, pc.fill_null(pc.binary_length(blobs), 0).to_numpy().astype(np.int64))
+    sizes = pc.fill_null(pc.binary_length(blobs), 0).to_numpy().astype(np.int64)
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), pc.fill_null(blobs, b"")), b"")[0]
+    values, counts = decode_all(np.frombuffer(whole.as_buffer() or b"", np.uint8), sizes)
     ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
     return pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()), mask=pc.is_null(blobs) if blobs.null_count else None)
 
