@@ -10,10 +10,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """more: columns of the table besides."""
     d = read(spark, sf_dir, "documents")
     title = F.substring(F.substring_index("text", "\n", 1), 1, 80)
-    return d.select("doc_id", title.alias("title"), F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.concat_ws(" ", "lang", "source").alias("meta"), F.col("text").alias("body"))
+    return d.select("doc_id", title.alias("title"), F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.concat_ws(" ", "lang", "source").alias("meta"), F.col("text").alias("body"), *more)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
