@@ -7,12 +7,22 @@ on, begins. Documents of a positive sum are ranked by it, ties by doc_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MIN_PREFIX, prefix_key, query_tokens, tokens
+from .index import BLOCK, SHIFT
 
 HEAP_ROWS = 10_000
+#: Queries that are scored together, with 256 KB of scores each; more make more chunks.
+CHUNK = 256
+#: Up to so many queries, their words are broadcast.
+FEW_QUERIES = 2_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -46,6 +56,100 @@ def top(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n).select("query_id", "rank", "doc_id", "score")
 
 
+def _slots(queries: DataFrame) -> DataFrame:
+    """(chunk, key, q, q3, uses): a key is the token, or the tokens of rows that repeat a query_id, at one
+    place of a query; uses tells which queries of the chunk have it, and how many times."""
+    n = queries.count()
+    each = query_terms(queries)
+    keys = each.groupBy("query_id", "pos").agg(F.sort_array(F.collect_set("q")).alias("qs")).withColumn("key", F.array_join("qs", " "))
+    times = keys.groupBy("query_id", "key").agg(F.count("*").alias("times"), F.first("qs").alias("qs"))
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // CHUNK) or 1))
+    uses = times.groupBy(chunk.alias("chunk"), "key").agg(F.collect_list(F.struct("query_id", "times")).alias("uses"), F.first("qs").alias("qs"))
+    slots = uses.select("chunk", "key", "uses", F.explode("qs").alias("q")).withColumn("q3", prefix_key(F.col("q")))
+    return F.broadcast(slots) if n <= FEW_QUERIES else slots
+
+
+class _Scores:
+    """Scores of one block of ids for the queries of one chunk, a key at a time."""
+
+    def __init__(self, block: int, n: int | None) -> None:
+        self.block, self.n, self.sums = block, n, {}
+        self.content, self.title, self.uses = np.zeros(BLOCK, np.uint8), np.zeros(BLOCK, np.uint8), ()
+
+    def close_key(self) -> None:
+        points = self.content + self.title
+        at = np.flatnonzero(points)
+        few = len(at) < BLOCK // 8
+        for use in self.uses if len(at) else ():
+            if (found := self.sums.get(use["query_id"])) is None:
+                found = self.sums[use["query_id"]] = np.zeros(BLOCK, np.int32)
+            if few:
+                found[at] += points[at].astype(np.int32) * use["times"]
+            elif use["times"] == 1:
+                found += points
+            else:
+                found += points.astype(np.int32) * use["times"]
+        self.content[:], self.title[:], self.uses = 0, 0, ()
+
+    def rows(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """(query_id, doc_id, score): all, or each query's best n."""
+        for query_id, sums in self.sums.items():
+            at = np.flatnonzero(sums)
+            if self.n is not None and len(at) > self.n:
+                order = sums[at].astype(np.int64) << SHIFT | BLOCK - 1 - at  # ties by doc_id
+                at = np.sort(at[np.argpartition(order, len(at) - self.n)[len(at) - self.n :]])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(query_id, kind), len(at)), pa.array(at + (self.block << SHIFT)), pa.array(sums[at].astype(np.int64))], ["query_id", "doc_id", "score"])
+
+
+def _scored(n: int | None):
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = (), None
+        kind = None
+        for batch in batches:
+            c = dict(zip(batch.schema.names, batch.columns))
+            kind, ids, offsets = c["uses"].type.value_type.field("query_id").type, c["ids"].flatten().to_numpy(), np.append(0, np.cumsum(c["ids"].value_lengths().to_numpy()))
+            where = [c[x].to_numpy() for x in ("block", "chunk", "tier")]
+            new = np.append(True, pc.not_equal(c["key"][1:], c["key"][:-1]).to_numpy(zero_copy_only=False))[: batch.num_rows]
+            for x in where:
+                new[1:] |= x[1:] != x[:-1]
+            starts = np.flatnonzero(new)
+            for i, j in zip(starts, np.append(starts[1:], batch.num_rows)):
+                at, key = (where[0][i], where[1][i]), c["key"][i].as_py()
+                if (*at, key) != now:
+                    if block:
+                        block.close_key()
+                    if at != now[:2]:
+                        if block:
+                            yield from block.rows(kind)
+                        block = _Scores(int(at[0]), n)
+                    now, block.uses = (*at, key), c["uses"][i].as_py()
+                low, tier = ids[offsets[i] : offsets[j]] & BLOCK - 1, where[2][i]
+                if tier:
+                    block.title[low] = tier  # tiers come in order
+                else:
+                    block.content[low] = 1
+        if block:
+            block.close_key()
+            yield from block.rows(kind)
+
+    return score
+
+
+def hits_many(docs: DataFrame, postings: DataFrame, queries: DataFrame, n: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of all matches of queries (query_id, query), or of n of each query's best a
+    block. What hits() gives, but a key's matches are added up as arrays over a block of ids, so that no
+    row is made of a match of one word. Documents without an id are left out."""
+    slots, id_kind = _slots(queries), dict(docs.dtypes)["doc_id"]
+    content = matching(postings, slots).select("block", "chunk", "key", F.lit(0).alias("tier"), F.col("doc_ids").cast("array<bigint>").alias("ids"), "uses")
+    titles = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode("title_terms").alias("term")).withColumn("p3", prefix_key(F.col("term")))
+    tier = F.when(F.col("term") == F.col("q"), 3).otherwise(2)
+    title = matching(titles, slots).select(F.shiftright("doc_id", SHIFT).alias("block"), "chunk", "key", tier.alias("tier"), F.array("doc_id").alias("ids"), "uses")
+    rows = content.union(title).filter("block is not null").repartition("block", "chunk").sortWithinPartitions("block", "chunk", "key", "tier")
+    found = rows.mapInArrow(_scored(n), f"query_id {dict(queries.dtypes)['query_id']}, doc_id bigint, score bigint")
+    return found.withColumn("doc_id", F.col("doc_id").cast(id_kind))
+
+
 def search_many(docs: DataFrame, postings: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     return top(hits(docs, postings, query_terms(queries)), n)
 
@@ -64,6 +168,13 @@ def literal(spark: SparkSession, query: str) -> DataFrame:
     return spark.range(1).select(F.lit(0).cast("bigint").alias("query_id"), F.lit(query).alias("query"))
 
 
+def read_by(pairs: DataFrame, query: str | None) -> DataFrame:
+    """Rows with a term under a prefix of the query's tokens, to be taken before lists are made; all for none."""
+    if query is None:
+        return pairs
+    return pairs.filter(prefix_key(F.col("term")).isin(sorted({t[:MIN_PREFIX] for t in query_tokens(pairs.sparkSession, query)})))
+
+
 def search(docs: DataFrame, postings: DataFrame, query: str, n: int) -> DataFrame:
     """(rank, doc_id, score) of one query; only lists under its tokens' prefixes are read."""
     keys = sorted({t[:MIN_PREFIX] for t in query_tokens(docs.sparkSession, query)})
