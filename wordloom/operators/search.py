@@ -151,7 +151,7 @@ def hits_many(docs: DataFrame, postings: DataFrame, queries: DataFrame, n: int |
 
 
 def search_many(docs: DataFrame, postings: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    return top(hits(docs, postings, query_terms(queries)), n)
+    return top(hits_many(docs, postings, queries, max(0, n)), n)
 
 
 def ranked(scored: DataFrame, n: int) -> DataFrame:
